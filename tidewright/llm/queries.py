@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import lookalike
+from tidewright.llm import lookalike, personal
 from tidewright.sources.tables import table
 
 
@@ -23,8 +23,20 @@ def p1_normalized(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.canonical(m).select("message_id", "canonical_text")
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Each message and each type of personal detail that occurs in its text."""
+    m = personal.redacted(table(spark, root, "messages").select("message_id", "raw_text"))
+    return m.filter(F.size("pii_types") > 0).select("message_id", F.explode("pii_types").alias("pii_type")).distinct()
+
+
+def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every message with placeholders in the place of personal details."""
+    m = table(spark, root, "messages").select("message_id", "raw_text").dropDuplicates()
+    return personal.redacted(m).select("message_id", "redacted_text", F.array_join("pii_types", ",").alias("pii_types"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
