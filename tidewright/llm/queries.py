@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import lookalike, personal
+from tidewright.llm import lookalike, neardup, personal
 from tidewright.sources.tables import table
 
 
@@ -35,8 +35,14 @@ def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
     return personal.redacted(m).select("message_id", "redacted_text", F.array_join("pii_types", ",").alias("pii_types"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of messages within 12 hours whose sets of words are alike."""
+    pairs = neardup.near_pairs(table(spark, root, "messages"))
+    return pairs.select(F.col("a").alias("message_id_a"), F.col("b").alias("message_id_b"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
