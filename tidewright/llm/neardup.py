@@ -10,10 +10,10 @@ extended until
 where `misses` is how many of its words a similar record may lack.  Two sets
 with Jaccard similarity of at least t then share a combination of one class,
 because fewer matches than k in every class k would mean more misses than may
-be.  The smaller set of a pair may lack fewer words (both being of at most its
-partner's size over t), so its combinations come from a shorter prefix, which
-is marked on the same rows.  Candidates are pruned by size and by bitmaps of their words, and verified
-on the words.
+be.  How many words may be missing depends on both sizes, so each combination
+carries the level of the prefix that it came in at, and pairs only meet in
+combinations that both their prefixes need.  Candidates are then pruned by
+bitmaps of their words and verified on the words.
 
 Equal sets are handled once: similarity is computed between distinct sets, and
 records join to sets afterwards.
@@ -44,7 +44,7 @@ WIDTH = 5
 #: Records that one combination should hold on average; sets the class borders.
 SHARE = 16
 #: Hash parts that a class is split into (fewer combinations for a slightly longer prefix).
-PARTS = {1: 1, 2: 3, 3: 1, 4: 1}
+PARTS = {1: 1, 2: 4, 3: 2, 4: 1}
 M64 = (1 << 64) - 1
 
 
@@ -58,11 +58,6 @@ def misses(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9)
 
 
-def misses_small(n: int, t: float) -> int:
-    """How many of its n words the smaller set of a similar pair may lack."""
-    return n - math.ceil(2 * t / (1 + t) * n - 1e-9)
-
-
 def borders(n: int) -> np.ndarray:
     """Largest counts of the classes 1 to 3 among n records."""
     n = max(n, SHARE)
@@ -81,11 +76,11 @@ def unpack(b: bytes) -> np.ndarray:
 
 
 def word_sets(df: DataFrame, ident: str, text: str, keep: list[str], min_words: int, table: dict[str, str]) -> DataFrame:
-    """(id, *keep, uid, n, words, bits) of the records with enough words; `words`
+    """(id, *keep, uid, n, words) of the records with enough words; `words`
     holds sorted hashes of the distinct words, `uid` stands for the set."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     mask = (1 << (8 * WIDTH)) - 1
-    schema = ", ".join(["id string", *(f"`{c}` {kinds[c]}" for c in keep), "uid bigint", "n int", "words binary", "bits0 bigint", "bits1 bigint"])
+    schema = ", ".join(["id string", *(f"`{c}` {kinds[c]}" for c in keep), "uid bigint", "n int", "words binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = rewriter(table)
@@ -93,40 +88,53 @@ def word_sets(df: DataFrame, ident: str, text: str, keep: list[str], min_words:
         for b in batches:
             if len(seen) > 500_000:
                 seen.clear()
-            rows, uids, ns, words, b0, b1 = [], [], [], [], [], []
-            ids = b.column(0)
+            rows, ns, flat, ends = [], [], [], [0]
+            valid = b.column(0).is_valid().to_pylist()
             for k, t in enumerate(b.column(1).to_pylist()):
-                if not t or len(t) < 2 * min_words - 1 or not ids[k].is_valid:
+                if not t or len(t) < 2 * min_words - 1 or not valid[k]:
                     continue
                 w = set(f(t).lower().split())
                 if len(w) < min_words:
                     continue
-                hs = []
+                hs = set()
                 for x in w:
                     h = seen.get(x)
                     if h is None:
                         h = seen[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) & mask
-                    hs.append(h)
-                h = np.unique(np.array(hs, np.uint64))
-                p = pack(h)
-                bit = (h >> np.uint64(3)) & np.uint64(127)
-                lo = np.bitwise_or.reduce(np.where(bit < 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)))
-                hi = np.bitwise_or.reduce(np.where(bit >= 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)))
+                    hs.add(h)
+                flat += sorted(hs)
+                ends.append(len(flat))
                 rows.append(k)
-                uids.append(xxhash.xxh3_64_intdigest(p) - (1 << 63))
                 ns.append(len(w))
-                words.append(p)
-                b0.append(lo)
-                b1.append(hi)
+            whole = pack(np.array(flat, np.uint64)) if flat else b""
+            words = [whole[WIDTH * x : WIDTH * y] for x, y in zip(ends, ends[1:])]
+            uids = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in words]
             part = b.take(pa.array(rows, pa.int64()))
             cols = [part.column(0).cast(pa.string()), *(part.column(i + 2) for i in range(len(keep)))]
             cols += [pa.array(uids, pa.int64()), pa.array(ns, pa.int32()), pa.array(words, pa.binary())]
-            cols += [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (b0, b1)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", *keep, "uid", "n", "words", "bits0", "bits1"])
+            yield pa.RecordBatch.from_arrays(cols, names=["id", *keep, "uid", "n", "words"])
 
     return df.select(F.col(ident), F.col(text), *keep).mapInArrow(run, schema)
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(uid, n, bits0, bits1), once for each set: 128 bits, one set by each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words = b.column(2).to_pylist()
+            h = unpack(b"".join(words))
+            at = np.concatenate([[0], np.cumsum([len(w) // WIDTH for w in words])])[:-1]
+            bit = (h >> np.uint64(3)) & np.uint64(127)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            bits = [np.bitwise_or.reduceat(np.where((bit < 64) == low, one, np.uint64(0)), at).view(np.int64) for low in (True, False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in bits)], names=["uid", "n", "bits0", "bits1"])
+
+    return sets.select("uid", "n", "words").mapInArrow(run, "uid bigint, n int, bits0 bigint, bits1 bigint").dropDuplicates(["uid"])
+
+
 def word_counts(sets: DataFrame) -> tuple[np.ndarray, int]:
     """How many records hold the words of each hash slot, and how many records there are."""
 
@@ -147,72 +155,83 @@ def word_counts(sets: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(out, 2**31 - 1).astype(np.int32), int(got.c[~at].sum())
 
 
-def combos(h: list[int], cls: list[int], short: int, m: int) -> tuple[list[int], list[bool]]:
-    """Signatures of one set, and whether each comes from its shorter prefix: the
-    word hashes in global order, their classes, and the misses of both prefixes."""
-    have: dict[tuple[int, int], list[int]] = {}
-    cover, out, early = 0, [], []
-    for x, k in zip(h, cls):
-        group = have.setdefault((k, x % PARTS[k]), [])
-        inside = cover <= short
+def combos(g: list[int], part: list[int], cls: list[int], m: int) -> tuple[list[int], list[int]]:
+    """Signatures of one set and the level of each: the coverage that the prefix
+    had before the word that completes it.  The words, as mixed hashes of less
+    than 60 bits, come in global order, with their parts and classes; `m` is the
+    number of misses up to which prefixes are wanted."""
+    have: dict[int, list[int]] = {}
+    cover, out, level = 0, [], []
+    for x, p, k in zip(g, part, cls):
+        group = have.setdefault(p, [])
+        was = len(out)
         if k == 1:
-            out.append((x * 0x9E3779B97F4A7C15 + 1) & M64)
-            early.append(inside)
+            out.append(x)
         elif k == 2:
-            for y in group:
-                a, b = (x, y) if x < y else (y, x)
-                out.append((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + 2) & M64)
-                early.append(inside)
-        elif len(group) >= k - 1:
-            for g in combinations(group, k - 1):
-                s = k
-                for y in sorted((x, *g)):
-                    s = (s * 0xD6E8FEB86659FD93 + y * 0x9E3779B97F4A7C15 + 1) & M64
-                out.append(s)
-                early.append(inside)
+            out += [x + y for y in group]
+        elif k == 3:
+            out += [x + y + z for y, z in combinations(group, 2)]
+        else:
+            out += [x + sum(c) for c in combinations(group, k - 1)]
+        level += [cover] * (len(out) - was)
         group.append(x)
         if len(group) >= k:
             cover += 1
             if cover > m:
                 break
-    return out, early
+    return out, level
+
+
+def mixed(h: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Hashes of words in a class, of less than 60 bits."""
+    x = h + cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(5)
 
 
 def signatures(sets: DataFrame, counts: np.ndarray, n: int, t: float) -> DataFrame:
-    """(sig, uid, meta) of all sets, meta = 2 n + (in the shorter prefix); a set
-    that a task has just seen is not repeated."""
+    """(sig, uid, meta) of all sets, meta = n * 65536 + level; a set that a task
+    has just seen is not repeated.  Signatures have 48 bits: a rare collision
+    makes a candidate that verification drops."""
     table = sets.sparkSession.sparkContext.broadcast(counts)
     edge = borders(n)
+    parts = np.array([1, *(PARTS[k] for k in sorted(PARTS))], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, seen = table.value, set()
         for b in batches:
             if len(seen) > 1_000_000:
                 seen.clear()
-            pick, words = [], []
-            for i, (u, w) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+            pick = []
+            for i, u in enumerate(b.column(0).to_pylist()):
                 if u not in seen:
                     seen.add(u)
                     pick.append(i)
-                    words.append(w)
             if not pick:
                 continue
-            uids, ns = b.column(0).take(pa.array(pick)).to_pylist(), b.column(1).take(pa.array(pick)).to_pylist()
+            own = b.take(pa.array(pick, pa.int64()))
+            uids, ns, words = (own.column(i).to_pylist() for i in range(3))
             h = unpack(b"".join(words))
             size = np.array([len(w) // WIDTH for w in words])
             doc = np.repeat(np.arange(len(pick)), size)
             df = c[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
-            cls = np.searchsorted(edge, df, side="left") + 1
             order = np.lexsort((h, df, doc))
-            h, cls = h[order].tolist(), cls[order].tolist()
-            sig, who, meta, at = [], [], [], 0
-            for u, m, k in zip(uids, ns, size.tolist()):
-                s, early = combos(h[at : at + k], cls[at : at + k], misses_small(m, t), misses(m, t))
-                sig += s
-                who += [u] * len(s)
-                meta += [2 * m + e for e in early]
+            h, df = h[order], df[order]
+            cls = np.searchsorted(edge, df, side="left") + 1
+            part = (h % parts[cls]).astype(np.int64) * 8 + cls
+            g, part, cls = mixed(h, cls).tolist(), part.tolist(), cls.tolist()
+            sig, level, many, at = [], [], [], 0
+            for m, k in zip(ns, size.tolist()):
+                x, y = combos(g[at : at + k], part[at : at + k], cls[at : at + k], misses(m, t))
+                sig += x
+                level += y
+                many.append(len(x))
                 at += k
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(sig, np.uint64).view(np.int64), pa.int64()), pa.array(who, pa.int64()), pa.array(meta, pa.int32())], names=["sig", "uid", "meta"])
+            s = (np.array(sig, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
+            who = np.repeat(np.array(uids, np.int64), many)
+            meta = np.repeat(np.minimum(np.array(ns, np.int64), 32767), many) * 65536 + np.minimum(np.array(level, np.int64), 65535)
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64), pa.int64()), pa.array(who, pa.int64()), pa.array(meta.astype(np.int32), pa.int32())], names=["sig", "uid", "meta"])
 
     return sets.select("uid", "n", "words").mapInArrow(run, "sig bigint, uid bigint, meta int")
 
@@ -224,11 +243,16 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = sigs.repartition(parts, "sig").distinct()
     a, b = sigs.alias("a"), sigs.alias("b")
-    na, nb = F.shiftright("a.meta", 1), F.shiftright("b.meta", 1)
-    smaller = (na < nb) | (na == nb) & (F.col("a.uid") < F.col("b.uid"))
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.meta") % 2 == 1) & smaller & (na >= F.lit(t) * nb - F.lit(1e-9)))
-    pairs = pairs.select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")).distinct()
-    one = sets.select("uid", "n", "bits0", "bits1").dropDuplicates(["uid"])
+    na, nb = F.shiftright("a.meta", 16), F.shiftright("b.meta", 16)
+    la, lb = F.col("a.meta").bitwiseAND(65535), F.col("b.meta").bitwiseAND(65535)
+    # Words of each set that the partner may lack, when it has the partner's size:
+    # a combination counts only if both prefixes need it.  (Sizes above 32766 are
+    # stored as 32767 and let through.)
+    o = F.ceil(F.lit(t / (1 + t)) * (na + nb) - F.lit(1e-9))
+    fits = (la <= na - o) & (lb <= nb - o) | (na == 32767) | (nb == 32767)
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.uid") < F.col("b.uid")) & fits)
+    pairs = pairs.select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")).repartition(parts, "ua").distinct()
+    one = bitmaps(sets)
     x = one.select(F.col("uid").alias("ua"), F.col("n").alias("na"), F.col("bits0").alias("a0"), F.col("bits1").alias("a1"))
     y = one.select(F.col("uid").alias("ub"), F.col("n").alias("nb"), F.col("bits0").alias("b0"), F.col("bits1").alias("b1"))
     pairs = pairs.join(x, "ua").join(y, "ub")
