@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import lookalike, neardup, personal
+from tidewright.llm import lookalike, neardup, personal, survivors
 from tidewright.sources.tables import table
 
 
@@ -41,9 +41,39 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("a").alias("message_id_a"), F.col("b").alias("message_id_b"))
 
 
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Groups of demands with a member that is best in all respects, and that member."""
+    c = survivors.choose(table(spark, root, "demands"), table(spark, root, "messages"))
+    return c.filter("dominant").select("group_id", F.col("lead_id").alias("demand_id"))
+
+
+def p7_survivors(spark: SparkSession, root: str) -> DataFrame:
+    """The surviving record of each group of demands, field bundle by field bundle."""
+    s = survivors.survivors(table(spark, root, "demands"), table(spark, root, "messages"))
+    return s.select("group_id", "demand_id", "n_members", "trust_score", "duplicate_collapse_count", "channels", "source_message_ids", "location", "need", "status", "time_decay_class", "first_reported_at", "last_corroborated_at", "raw_texts")
+
+
+P7_SQL = r"""
+with recursive d as (select distinct * from demands),
+l as (select distinct demand_id, lower(trim(m)) mid from (select demand_id, unnest(source_message_ids) m from d)),
+k as (select demand_id, mid from l where mid in (select lower(trim(message_id)) from messages)),
+e as (select distinct a.demand_id x, b.demand_id y from k a join k b using (mid)),
+r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x),
+g as (select x demand_id, min(y) group_id from r group by x),
+m as (select g.group_id, d.demand_id, coalesce(last_corroborated_at, timestamp '0001-01-01') la, coalesce(trust_score, -1e300) tr,
+ (d.demand_id is not null)::int + coalesce((len(source_message_ids) > 0)::int, 0) + (duplicate_collapse_count is not null)::int + (location is not null)::int
+ + (need is not null)::int + (field_confidence is not null)::int + (quantity_confidence is not null)::int + (trust_score is not null)::int
+ + (first_reported_at is not null)::int + (last_corroborated_at is not null)::int + (time_decay_class is not null)::int + (status is not null)::int
+ + (escalation_weight is not null)::int + coalesce((len(channels) > 0)::int, 0) + coalesce((len(raw_texts) > 0)::int, 0) fi
+ from d join g using (demand_id)),
+t as (select group_id, max(fi) fi, max(la) la, max(tr) tr, count(*) n from m group by group_id)
+select m.group_id, min(m.demand_id) as demand_id from m join t on m.group_id = t.group_id and m.fi = t.fi and m.la = t.la and m.tr = t.tr and t.n > 1
+group by m.group_id having count(*) = 1"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p7_found": p7_found, "p7_survivors": p7_survivors}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_found": P7_SQL}
