@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import lookalike, neardup, personal, survivors
+from tidewright.llm import lookalike, neardup, personal, spam, survivors
 from tidewright.sources.tables import table
 
 
@@ -71,8 +71,18 @@ select m.group_id, min(m.demand_id) as demand_id from m join t on m.group_id = t
 group by m.group_id having count(*) = 1"""
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of whose text more than half is repeated keywords, links or tags."""
+    return spam.scored(table(spark, root, "documents")).filter("spam").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its stuffed share, page score, host rate and smoothed score."""
+    return spam.scored(table(spark, root, "documents")).select("doc_id", "host", "share", "page_score", "host_rate", "score", "spam")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p7_found": p7_found, "p7_survivors": p7_survivors}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p7_found": p7_found, "p7_survivors": p7_survivors, "p10_found": p10_found, "p10_scores": p10_scores}
 
 
 def oracle_sql() -> dict[str, str]:
