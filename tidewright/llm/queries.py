@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import lookalike, neardup, personal, spam, survivors
+from tidewright.llm import language, lookalike, neardup, personal, spam, survivors
 from tidewright.sources.tables import table
 
 
@@ -41,6 +41,28 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("a").alias("message_id_a"), F.col("b").alias("message_id_b"))
 
 
+#: Names of places that the class of names is trained on at most.
+MAX_NAMES = 5000
+
+
+def _names(spark: SparkSession, root: str) -> list[str]:
+    g = table(spark, root, "gazetteer").select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
+    return sorted(r.n for r in g.filter("n is not null").distinct().orderBy(F.xxhash64("n"), "n").limit(MAX_NAMES).collect())
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Messages whose language label is missing or wrong, with each language of their text."""
+    return language.mislabelled(table(spark, root, "messages"), names=_names(spark, root))
+
+
+def p6_segments(spark: SparkSession, root: str) -> DataFrame:
+    """Each stretch of each message with its language and confidence."""
+    m = table(spark, root, "messages").select("message_id", "raw_text", "detected_language")
+    d = language.identified(m, keep=["message_id"], names=_names(spark, root)).dropDuplicates(["message_id"])
+    d = d.select("message_id", F.array_join("langs", "+").alias("languages"), F.round("confidence", 4).alias("confidence"), F.posexplode("segments").alias("segment", "s"))
+    return d.select("message_id", "languages", "confidence", "segment", "s.text", "s.lang", F.round("s.confidence", 4).alias("segment_confidence"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Groups of demands with a member that is best in all respects, and that member."""
     c = survivors.choose(table(spark, root, "demands"), table(spark, root, "messages"))
@@ -82,7 +104,7 @@ def p10_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p7_found": p7_found, "p7_survivors": p7_survivors, "p10_found": p10_found, "p10_scores": p10_scores}
+    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_survivors": p7_survivors, "p10_found": p10_found, "p10_scores": p10_scores}
 
 
 def oracle_sql() -> dict[str, str]:
