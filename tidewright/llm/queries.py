@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm import language, lookalike, neardup, personal, spam, survivors
+from tidewright.llm import language, lookalike, mixing, neardup, packing, personal, ranks, spam, survivors, tokens
+from tidewright.session import cut
 from tidewright.sources.tables import table
 
 
@@ -35,6 +36,72 @@ def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
     return personal.redacted(m).select("message_id", "redacted_text", F.array_join("pii_types", ",").alias("pii_types"))
 
 
+PERCENTILES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999]
+#: Arrivals that stand for "unknown".
+SENTINELS = [99999.0]
+
+
+def policy(c: Column) -> Column:
+    """One spelling for each policy."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_")
+
+
+def _runs(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "results").select("run_id", policy(F.col("policy")).alias("policy"), F.col("median_time_to_reach_min").alias("median")).distinct()
+
+
+def _arrivals(spark: SparkSession, root: str) -> DataFrame:
+    """Possible arrivals, each served row once: finite, not negative, not before
+    the dispatch, and no sentinel."""
+    s = table(spark, root, "served").select("served_id", "run_id", "zone", "arrived_at_min", "dispatched_at_min")
+    a, d = F.col("arrived_at_min"), F.col("dispatched_at_min")
+    ok = a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")) & (a >= 0) & ~a.isin(SENTINELS) & F.coalesce(a >= d, F.lit(True))
+    return s.filter(ok).distinct()
+
+
+def p3_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of arrivals and of the runs' medians for each policy, with the
+    rank error, from summaries of runs."""
+    runs = _runs(spark, root)
+    by_run = ranks.merged(ranks.summaries(_arrivals(spark, root), ["run_id"], "arrived_at_min"), ["run_id"])
+    with_policy = by_run.join(runs.select("run_id", "policy").distinct(), "run_id").select("policy", F.lit("arrived_at_min").alias("metric"), "n", "v", "lo", "hi")
+    medians = runs.filter("median > 0").select("policy", F.lit("median_time_to_reach_min").alias("metric"), "median")
+    both = with_policy.unionByName(ranks.summaries(medians, ["policy", "metric"], "median"))
+    keys = ["policy", "metric"]
+    return ranks.percentiles(ranks.merged(both, keys), keys, PERCENTILES)
+
+
+def p3_run_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """One rank summary for each run, to be stored and merged with later ones."""
+    return ranks.merged(ranks.summaries(_arrivals(spark, root), ["run_id"], "arrived_at_min"), ["run_id"])
+
+
+def _sizes(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.counted(table(spark, root, "documents").select("doc_id", "source", "text"), "doc_id", "text", ["source"])
+
+
+def p8_packing(spark: SparkSession, root: str) -> DataFrame:
+    """Every document in the containers of every spec."""
+    return packing.packed(cut(_sizes(spark, root).select("doc_id", "n_tokens"), "sizes"), table(spark, root, "pack_specs"), "doc_id")
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Containers, tokens and fill of each spec."""
+    p = p8_packing(spark, root).join(F.broadcast(table(spark, root, "pack_specs").limit(1000)), "spec_id")
+    boxes = p.groupBy("spec_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used"))
+    return boxes.groupBy("spec_id", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), (F.sum("used") / F.sum("capacity_tokens")).alias("fill"), F.max("used").alias("fullest"))
+
+
+def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of each mix, by shard, in shuffled order."""
+    return mixing.mixture(cut(_sizes(spark, root), "sizes"), table(spark, root, "source_mix"), "doc_id")[0]
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and reached shares of each source in each mix."""
+    return mixing.shares(*mixing.mixture(cut(_sizes(spark, root), "sizes"), table(spark, root, "source_mix"), "doc_id"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of messages within 12 hours whose sets of words are alike."""
     pairs = neardup.near_pairs(table(spark, root, "messages"))
@@ -104,7 +171,25 @@ def p10_scores(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p6_found": p6_found, "p6_segments": p6_segments, "p7_found": p7_found, "p7_survivors": p7_survivors, "p10_found": p10_found, "p10_scores": p10_scores}
+    return {
+        "p1_found": p1_found,
+        "p1_normalized": p1_normalized,
+        "p2_found": p2_found,
+        "p2_redacted": p2_redacted,
+        "p3_percentiles": p3_percentiles,
+        "p3_run_summaries": p3_run_summaries,
+        "p5_found": p5_found,
+        "p6_found": p6_found,
+        "p6_segments": p6_segments,
+        "p7_found": p7_found,
+        "p7_survivors": p7_survivors,
+        "p8_packing": p8_packing,
+        "p8_fill": p8_fill,
+        "p9_mixture": p9_mixture,
+        "p9_shares": p9_shares,
+        "p10_found": p10_found,
+        "p10_scores": p10_scores,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
