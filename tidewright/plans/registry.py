@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import spatial_queries
+from tidewright.plans import spatial_queries, text_queries
 
-MODULES = [spatial_queries]
+MODULES = [spatial_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -59,3 +59,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     choice of a shuffle join to the optimizer."""
     n = df.limit(rows + 1).count()
     return F.broadcast(df) if n <= rows else df
+
+
+def bounded_sample(df: DataFrame, ident: str, n: int) -> DataFrame:
+    """At most `n` rows, the first by a hash of `ident`.  Rows are thinned by that
+    hash before they are ordered, so that what partitions send is bounded too."""
+    h = F.pmod(F.xxhash64(ident), F.lit(1 << 30))
+    total = df.count()
+    if total > 2 * n:
+        df = df.filter(h < F.lit(int(1.5 * n / total * (1 << 30)) + 1))
+    return df.orderBy(F.xxhash64(ident), ident).limit(n)
