@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.lookalike import lookalike_table, rewriter
 from tidewright.llm.personal import details
+from tidewright.session import bounded_sample
 
 LANGS = ("en", "hi", "ml")
 # Spellings of labels, without region and case.
@@ -233,7 +234,7 @@ def fitted(df: DataFrame, ident: str, text: str, label: str, table: dict[str, st
     """Network fitted on at most `sample` rows whose label names one language."""
     d = df.select(F.col(ident).alias("i"), F.col(text).alias("t"), label_of(F.col(label)).alias("l"))
     d = d.filter(F.col("l").isin(*LANGS) & (F.length("t") > 0))
-    rows = d.orderBy(F.xxhash64("i"), "i").limit(sample).select("t", "l").collect()
+    rows = bounded_sample(d, "i", sample).select("t", "l").collect()
     return train([r.t for r in rows], [r.l for r in rows], table, names)
 
 

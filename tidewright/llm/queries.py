@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import language, lookalike, mixing, neardup, packing, personal, ranks, spam, survivors, tokens
-from tidewright.session import cut
+from tidewright.session import bounded_sample, cut
 from tidewright.sources.tables import table
 
 
@@ -114,7 +114,7 @@ MAX_NAMES = 5000
 
 def _names(spark: SparkSession, root: str) -> list[str]:
     g = table(spark, root, "gazetteer").select(F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
-    return sorted(r.n for r in g.filter("n is not null").distinct().orderBy(F.xxhash64("n"), "n").limit(MAX_NAMES).collect())
+    return sorted(r.n for r in bounded_sample(g.filter("n is not null").distinct(), "n", MAX_NAMES).collect())
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import bounded_sample, cut, small
+
 #: Rows that the trees are fitted on at most.
 SAMPLE = 4000
 TREES, DEPTH, LEAF = 15, 6, 8
@@ -234,7 +236,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees fitted on weak labels of at most `sample` pages, the first by a hash
     of their id: stuffed if the share is above 0.6, not if it is below 0.4."""
     clear = pages.filter("x[0] > 0.6 or x[0] < 0.4")
-    rows = clear.orderBy(F.xxhash64("id"), "id").limit(sample).select("x").collect()
+    rows = bounded_sample(clear, "id", sample).select("x").collect()
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
     if not len(x):
         return Trees().fit(np.zeros((1, len(FEATURES))), np.zeros(1))
@@ -243,8 +245,6 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Trees:
 
 def scored(docs: DataFrame, ident: str = "doc_id", text: str = "text", url: str = "page_url", sample: int = SAMPLE) -> DataFrame:
     """(id, host, share, page_score, host_rate, score, spam) of every page."""
-    from tidewright.session import cut, small
-
     pages = cut(featured(docs, ident, text, url), "pages")
     model = fit(pages, sample)
 
