@@ -44,7 +44,7 @@ SAMPLE = 2000
 NAME_LISTS = 1500
 WINDOW = 48
 DIM, FILTERS, WIDTHS = 8, 16, (2, 3, 5)
-EPOCHS, BATCH, RATE = 5, 64, 0.004
+EPOCHS, STEPS, BATCH, RATE = 5, 400, 64, 0.004
 #: Joint probability from which a sentence, and a piece within one, counts as a clause of a language.
 SURE, SURE_PIECE, PIECE_WORDS = 0.80, 0.95, 3
 
@@ -158,11 +158,12 @@ class ByteNet:
 
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 5) -> ByteNet:
         r, state = np.random.default_rng(seed), {}
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(x))))
+        for epoch in range(epochs):
             order = r.permutation(len(x))
             for i in range(0, len(x), BATCH):
                 j = order[i : i + BATCH]
-                self.step(x[j], y[j], state, RATE * (0.5 if epoch >= EPOCHS - 2 else 1.0))
+                self.step(x[j], y[j], state, RATE * (0.5 if epoch >= 0.6 * epochs else 1.0))
         self.table = None
         return self
 

@@ -42,6 +42,9 @@ LOOKALIKE_LETTERS = {
 CHILLU = {"ൺ": "ണ്‍", "ൻ": "ന്‍", "ർ": "ര്‍", "ൽ": "ല്‍", "ൾ": "ള്‍", "ൿ": "ക്‍"}
 #: Compatibility tags whose decomposition has the same look.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<font>"}
+#: Occurrences that an ASCII member of a class counts more, so that a small corpus in
+#: disguise doesn't make the disguise the rule.
+ASCII_PRIOR = 1000
 JOINERS = "‌‍"
 
 
@@ -139,7 +142,7 @@ def classes(alphabet: Iterable[str]) -> Classes:
 
 def rewrites(counts: dict[str, int]) -> dict[str, str]:
     """Map each class member to its representative: the most frequent member by
-    `counts` (ties: the shorter, then the first by code point; a class with the
+    `counts`, where ASCII has a small prior (ties: the shorter, then the first by code point; a class with the
     empty string is represented by it).  Identities of longer strings stay in
     the map where they must be protected from shorter matches."""
     uf = classes(k for k in counts if len(k) == 1)
@@ -150,7 +153,7 @@ def rewrites(counts: dict[str, int]) -> dict[str, str]:
         elif " " in members:
             rep = " "
         else:
-            rep = min(members, key=lambda s: (-counts.get(s, 0), len(s), s))
+            rep = min(members, key=lambda s: (-counts.get(s, 0) - ASCII_PRIOR * s.isascii(), len(s), s))
         for m in members:
             if m and (m != rep or len(m) > 1 and not m.isascii()):
                 out[m] = rep

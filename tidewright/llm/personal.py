@@ -313,5 +313,5 @@ def redacted(df: DataFrame, text: str = "raw_text", table: dict[str, str] | None
         rows = [(None, []) if t is None else redact(t, f) for t in s]
         return pd.DataFrame(rows, columns=["redacted_text", "pii_types"])
 
-    d = df.withColumn("_pii", run(F.col(text)))
-    return d.withColumn("redacted_text", F.col("_pii.redacted_text")).withColumn("pii_types", F.col("_pii.pii_types")).drop("_pii")
+    d = df.withColumn("__tw_pii", run(F.col(text)))
+    return d.withColumn("redacted_text", F.col("__tw_pii.redacted_text")).withColumn("pii_types", F.col("__tw_pii.pii_types")).drop("__tw_pii")
