@@ -93,6 +93,7 @@ def sentences(t: str) -> list[list[str]]:
             if len(WORD.findall(s)) < 4:
                 continue
             s = s.replace("\x01", "0")
+        s = s.strip(" .,!?।:-")
         whole.append(s.split(", ") if s.isascii() else PIECE.split(s))
     return whole
 
