@@ -157,6 +157,15 @@ def z1_zone_totals(spark: SparkSession, root: str) -> DataFrame:
     return j.select("zone", "people", "served", F.when(F.col("people") > 0, F.round(1 - F.least(F.lit(1.0), F.col("served") / F.col("people")), 6)).otherwise(F.lit(0.0)).alias("deficit"))
 
 
+def message_items(spark: SparkSession, root: str) -> DataFrame:
+    """Located messages with need, headcount and time, as the pair gate takes them."""
+    m = table(spark, root, "messages").filter("raw_text is not null and received_at is not null").dropDuplicates(["message_id"])
+    m = m.select("message_id", F.expr("unix_micros(cast(received_at as timestamp))").alias("us"), triage.extraction(F.col("raw_text")).alias("e"))
+    loc = table(spark, root, "message_locations").filter("lat is not null and lon is not null").select("message_id", "lat", "lon", "resolution").distinct()
+    m = m.select("message_id", "us", "e.need.need_type", "e.head.people", (F.col("e.head.raw") >= 0.85).alias("sure"))
+    return m.join(loc, "message_id")
+
+
 _T = tq.SQL["t1_extract"].replace(tq._M, "(select message_id, any_value(raw_text) raw_text from messages where raw_text is not null and received_at is not null group by message_id)")
 _R = f"""x as ({_T}), m as (select message_id, any_value(channel) channel, any_value(sender_hash) sender_hash, any_value(epoch_us(received_at)) at_us from messages where raw_text is not null and received_at is not null group by message_id),
 l as (select distinct demand_id, unnest(source_message_ids) message_id from demands), r as (select l.demand_id, m.*, x.* exclude (message_id) from l join m using (message_id) join x using (message_id))"""
@@ -169,6 +178,13 @@ def _ent(by: str, out: str) -> str:
  from (select demand_id, {by}, count(*) c from r group by 1, 2) group by 1)"""
 
 
+GATE_SQL = f"""with x as ({_T}), m as (select message_id, any_value(epoch_us(received_at)) us from messages where raw_text is not null and received_at is not null group by message_id),
+c as (select distinct message_id, lat, lon, resolution from message_locations where lat is not null and lon is not null),
+i as (select message_id, us, need_type, people, people_raw >= 0.85 sure, lat, lon, case resolution when 'point' then 60 when 'building' then 180 when 'street' then 550 when 'ward' then 2600 end u from m join x using (message_id) join c using (message_id))
+select distinct a.message_id as a, b.message_id as b from i a join i b on a.need_type = b.need_type and a.message_id < b.message_id and abs(a.us - b.us) <= 5400000000 and 180 + a.u + b.u <= 3000
+ and abs(a.lat - b.lat) < 0.03 and (not (a.sure and b.sure and least(a.people, b.people) > 0) or greatest(a.people, b.people) <= 1.6::double * least(a.people, b.people))
+ and 2*6371000*asin(least(1.0, sqrt(power(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin(radians(b.lon-a.lon)/2),2)))) <= 180 + a.u + b.u"""
+
 SQL = {
     "k1_trust_score": f"""with {_R}, {_ent('channel', 'ch')}, {_ent('sender_hash', 'se')}, {_ent('need_type', 'ne')},
 b as (select demand_id, count(*) n, count(distinct sender_hash) s, min(at_us) t0, max(at_us) t1, min(people) p0, max(people) p1, avg(people) pm, (select max(epoch_us(received_at)) from messages) now_us from r group by 1),
