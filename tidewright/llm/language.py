@@ -41,10 +41,10 @@ LABELS = {
 #: Labelled messages that the network is trained on at most (the first by a hash of their id).
 SAMPLE = 2000
 #: Lists of names that the class of names is trained on.
-NAME_LISTS = 1500
+NAME_LISTS = 3000
 WINDOW = 48
-DIM, FILTERS, WIDTHS = 8, 16, (2, 3, 5)
-EPOCHS, STEPS, BATCH, RATE = 5, 400, 64, 0.004
+DIM, FILTERS, WIDTHS = 8, 32, (2, 3, 5)
+EPOCHS, STEPS, BATCH, RATE = 6, 400, 64, 0.004
 #: Joint probability from which a sentence, and a piece within one, counts as a clause of a language.
 SURE, SURE_PIECE, PIECE_WORDS = 0.80, 0.95, 3
 
@@ -206,7 +206,7 @@ def name_lists(names: list[str], n: int = NAME_LISTS, seed: int = 3) -> list[str
     out = []
     for i in r.integers(0, len(names), n):
         x = names[i].lower()
-        out.append(x.split()[0] if r.random() < 0.5 else x)
+        out.append(x.split()[0] if r.random() < 0.25 else x)
     return out
 
 
