@@ -160,9 +160,19 @@ def z1_zone_totals(spark: SparkSession, root: str) -> DataFrame:
 def message_items(spark: SparkSession, root: str) -> DataFrame:
     """Located messages with need, headcount and time, as the pair gate takes them."""
     m = table(spark, root, "messages").filter("raw_text is not null and received_at is not null").dropDuplicates(["message_id"])
-    m = m.select("message_id", F.expr("unix_micros(cast(received_at as timestamp))").alias("us"), triage.extraction(F.col("raw_text")).alias("e"))
+    return _located_items(spark, root, m).select("message_id", "us", "need_type", "people", "sure", "lat", "lon", "resolution")
+
+
+def message_frames(spark: SparkSession, root: str) -> DataFrame:
+    """As `message_items`, with the text, flags and urgency."""
+    m = table(spark, root, "messages").filter("raw_text is not null and received_at is not null").dropDuplicates(["message_id"])
+    return _located_items(spark, root, m)
+
+
+def _located_items(spark: SparkSession, root: str, m: DataFrame) -> DataFrame:
+    m = m.select("message_id", "raw_text", F.expr("unix_micros(cast(received_at as timestamp))").alias("us"), triage.extraction(F.col("raw_text")).alias("e"))
     loc = table(spark, root, "message_locations").filter("lat is not null and lon is not null").select("message_id", "lat", "lon", "resolution").distinct()
-    m = m.select("message_id", "us", "e.need.need_type", "e.head.people", (F.col("e.head.raw") >= 0.85).alias("sure"))
+    m = m.select("message_id", "raw_text", "us", "e.need.need_type", "e.head.people", (F.col("e.head.raw") >= 0.85).alias("sure"), "e.vuln.flags", "e.urgency.level")
     return m.join(loc, "message_id")
 
 
@@ -185,6 +195,20 @@ select distinct a.message_id as a, b.message_id as b from i a join i b on a.need
  and abs(a.lat - b.lat) < 0.03 and (not (a.sure and b.sure and least(a.people, b.people) > 0) or greatest(a.people, b.people) <= 1.6::double * least(a.people, b.people))
  and 2*6371000*asin(least(1.0, sqrt(power(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*power(sin(radians(b.lon-a.lon)/2),2)))) <= 180 + a.u + b.u"""
 
+_FRAME = ("[" + ", ".join([f"(need_type = '{n}')::int::double" for n in triage.NEEDS] + [f"case when list_contains(string_split(flags, ','), '{f}') then 0.7 else 0.0 end" for f in ("disabled", "elderly", "infant", "injured", "pregnant")]
+ + [f"case when level = '{x}' then 0.8 else 0.0 end" for x in ("none", "mild", "moderate", "critical")] + [f"case when floor(hb) = {k} then (1 - (hb - floor(hb))) * 0.9 when floor(hb) + 1 = {k} then (hb - floor(hb)) * 0.9 else 0.0 end" for k in range(4)]) + "]::double[]")
+ALIKE_SQL = f"""select a, b, cosine from (with gate as ({GATE_SQL}), x as ({_T}), ids as (select a message_id from gate union select b from gate),
+t as (select message_id, ' ' || {tq._PN.format('any_value(raw_text)')} || ' ' t from messages where raw_text is not null and received_at is not null group by message_id),
+g as (select message_id, unnest(list_concat(list_concat(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3)), list_transform(range(1, greatest(length(t) - 2, 2)), lambda i: substr(t, i, 4))), list_transform(range(1, greatest(length(t) - 3, 2)), lambda i: substr(t, i, 5)))) g
+ from t where message_id in (select message_id from ids)),
+v as (select message_id, substr(md5(g), 1, 2) bucket, sum(case when substr(md5(g), 3, 1) < '8' then 1 else -1 end)::double s from g group by 1, 2 having sum(case when substr(md5(g), 3, 1) < '8' then 1 else -1 end) <> 0),
+u as (select v.message_id, bucket, s / sqrt(n) w from v join (select message_id, sum(s * s) n from v group by 1) using (message_id)),
+lex as (select a, b, sum(p.w * q.w) l from gate join u p on p.message_id = a join u q on q.message_id = b and q.bucket = p.bucket group by 1, 2),
+f as (select message_id, {_FRAME} fr from (select *, least(3.0, ln(1 + people) / ln(60.0::double) * 4) hb from x)),
+j as (select gate.a, gate.b, coalesce(l, 0) l, list_dot_product(p.fr, q.fr) / sqrt(list_dot_product(p.fr, p.fr)) / sqrt(list_dot_product(q.fr, q.fr)) s
+ from gate left join lex using (a, b) join f p on p.message_id = gate.a join f q on q.message_id = gate.b)
+select a, b, round((0.55::double * 0.55 * l + 0.75::double * 0.75 * s) / (0.55::double * 0.55 + 0.75::double * 0.75), 6) as cosine from j) where cosine >= 0.68"""
+
 SQL = {
     "k1_trust_score": f"""with {_R}, {_ent('channel', 'ch')}, {_ent('sender_hash', 'se')}, {_ent('need_type', 'ne')},
 b as (select demand_id, count(*) n, count(distinct sender_hash) s, min(at_us) t0, max(at_us) t1, min(people) p0, max(people) p1, avg(people) pm, (select max(epoch_us(received_at)) from messages) now_us from r group by 1),

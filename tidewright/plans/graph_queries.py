@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import graph
+from tidewright.operators import embed, graph
 from tidewright.operators.components import by_shared_keys
+from tidewright.operators.spatial import haversine_m
 from tidewright.plans import demand_queries
+from tidewright.session import cut
 from tidewright.sources.tables import table
 
 HOPS = 12
@@ -48,6 +50,35 @@ def d3_gate_pairs(spark: SparkSession, root: str) -> DataFrame:
     return graph.gated(r).select("a", "b")
 
 
+ALIKE = 0.68
+
+
+def _similar(spark: SparkSession, root: str) -> DataFrame:
+    items = demand_queries.message_frames(spark, root)
+    pairs = cut(graph.gated(items), "gate")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("message_id")).distinct()
+    vectors = embed.lexical(items.join(ids, "message_id", "left_semi"), "message_id", "raw_text")
+    frames = items.select("message_id", embed.frame(F.col("need_type"), F.col("flags"), F.col("level"), F.col("people")).alias("frame"))
+    return embed.similar(pairs, vectors, frames, "message_id", ALIKE)
+
+
+def e3_similar_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs that pass the gate and whose text and structure are alike."""
+    return _similar(spark, root)
+
+
+def d4_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Clusters of reports: components of alike pairs, with their size and spread in metres."""
+    sims = cut(_similar(spark, root), "alike").select("a", "b")
+    links = sims.select(F.explode(F.array("a", "b")).alias("message_id"), F.concat_ws("|", "a", "b").alias("k"))
+    c = by_shared_keys(links, "message_id", "k")
+    loc = table(spark, root, "message_locations").filter("lat is not null and lon is not null").select("message_id", "lat", "lon").distinct()
+    g = c.join(loc, "message_id").groupBy("component").agg(
+        F.countDistinct("message_id").alias("members"), F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1")
+    )
+    return g.select("component", "members", F.round(haversine_m(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1")), 3).alias("box_m"))
+
+
 _EDGES = """edges as (with s as (select h3_cell, least(a, b) p, greatest(a, b) q from (select h3_cell, {'y': round(boundary[k].lat, 6), 'x': round(boundary[k].lon, 6)} a, {'y': round(boundary[k+1].lat, 6), 'x': round(boundary[k+1].lon, 6)} b from zones, unnest(range(1, len(boundary))) t(k)))
 select distinct l.h3_cell u, r.h3_cell v from s l join s r on l.p = r.p and l.q = r.q and l.h3_cell <> r.h3_cell)"""
 _LEN = "2*6371000*asin(least(1.0, sqrt(power(sin(radians(b.centre_lat-a.centre_lat)/2),2)+cos(radians(a.centre_lat))*cos(radians(b.centre_lat))*power(sin(radians(b.centre_lon-a.centre_lon)/2),2))))"
@@ -60,6 +91,12 @@ select component, count(*) as members from (select x, min(y) component from (sel
     "g1_edges": f"with {_EDGES} select u, v, round({_LEN}, 3) as length_m, round(round({_LEN}, 3) / (40 / 3.6), 3) as road_s, round(round({_LEN}, 3) / (9 / 3.6), 3) as boat_s from edges join zones a on a.h3_cell = u join zones b on b.h3_cell = v",
     "g3_hops": f"with recursive {_EDGES}, r as (select min(h3_cell) node, 0 hops from zones union select v, hops + 1 from r join edges on u = node where hops < 12) select node, min(hops)::int as hops from r group by node",
     "d3_gate_pairs": demand_queries.GATE_SQL,
+    "e3_similar_pairs": demand_queries.ALIKE_SQL,
+    "d4_clusters": f"""with recursive s as ({demand_queries.ALIKE_SQL}), f as (select a x, b y from s union select b, a from s union select a, a from s union select b, b from s),
+r as (select x, y from f union select r.x, f.y from r join f on r.y = f.x), c as (select x message_id, min(y) component from (select * from r) group by x),
+l as (select distinct message_id, lat, lon from message_locations where lat is not null and lon is not null),
+g as (select component, count(distinct message_id) members, min(lat) y0, max(lat) y1, min(lon) x0, max(lon) x1 from c join l using (message_id) group by 1)
+select component, members, round(2*6371000*asin(least(1.0, sqrt(power(sin(radians(y1-y0)/2),2)+cos(radians(y0))*cos(radians(y1))*power(sin(radians(x1-x0)/2),2)))), 3) as box_m from g""",
 }
 
-QUERIES = {f.__name__: f for f in (g2_components, g1_edges, g3_hops, g5_nearest_depot, d3_gate_pairs)}
+QUERIES = {f.__name__: f for f in (g2_components, g1_edges, g3_hops, g5_nearest_depot, d3_gate_pairs, e3_similar_pairs, d4_clusters)}
