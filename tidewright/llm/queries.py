@@ -124,8 +124,8 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_segments(spark: SparkSession, root: str) -> DataFrame:
     """Each stretch of each message with its language and confidence."""
-    m = table(spark, root, "messages").select("message_id", "raw_text", "detected_language")
-    d = language.identified(m, keep=["message_id"], names=_names(spark, root)).dropDuplicates(["message_id"])
+    m = table(spark, root, "messages").select("message_id", "raw_text", "detected_language").dropDuplicates(["message_id"])
+    d = language.identified(m, keep=["message_id"], names=_names(spark, root))
     d = d.select("message_id", F.array_join("langs", "+").alias("languages"), F.round("confidence", 4).alias("confidence"), F.posexplode("segments").alias("segment", "s"))
     return d.select("message_id", "languages", "confidence", "segment", "s.text", "s.lang", F.round("s.confidence", 4).alias("segment_confidence"))
 

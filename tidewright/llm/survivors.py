@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.components import by_shared_keys
+from tidewright.session import cut
 
 LOWEST = -1e300
 BUNDLES = ("place", "need", "state", "times", "texts")
@@ -158,10 +159,11 @@ def search(offers: list[dict]) -> dict:
 CHOICE = "group_id string, lead_id string, dominant boolean, trust_total double, " + ", ".join(f"{b} string, {b}_h bigint" for b in BUNDLES)
 
 
-def choose(demands: DataFrame, messages: DataFrame) -> DataFrame:
+def choose(demands: DataFrame, messages: DataFrame, g: DataFrame | None = None) -> DataFrame:
     """One row for each group of two or more members: which member each bundle
-    of the survivor comes from, the leading member, and whether it is dominant."""
-    g = groups(demands, messages)
+    of the survivor comes from, the leading member, and whether it is dominant.
+    `g` are the groups, where they are known already."""
+    g = groups(demands, messages) if g is None else g
     m = members(demands).join(g, "demand_id")
     c = candidates(m)
     # Exact repeats of a row offer the same, and so fall together here.
@@ -182,8 +184,8 @@ def choose(demands: DataFrame, messages: DataFrame) -> DataFrame:
 def survivors(demands: DataFrame, messages: DataFrame) -> DataFrame:
     """The surviving record of each group, with united channels and messages and
     the right `duplicate_collapse_count` (the number of its messages, at least 1)."""
-    pick = choose(demands, messages)
     g = groups(demands, messages)
+    pick = cut(choose(demands, messages, g), "choice")
     h = F.pmod(F.col("_h"), F.lit(1 << 53)).cast("bigint")
     m = members(demands).dropDuplicates(["demand_id", "_h"]).withColumn("_key", h)
     out = pick.select("group_id", F.col("lead_id").alias("demand_id"), *[F.col(f"{b}_h").alias(f"_{b}_h") for b in BUNDLES], *[F.col(b).alias(f"_{b}") for b in BUNDLES])
