@@ -140,6 +140,8 @@ SPAM = [
     "[map](http://a.example/x) [form](www.b.invalid/y?id=3) [lamp store](https://c.example/z)",
     "solar lamp | pump rental | solar lamp | pump rental | solar lamp | solar lamp | pump rental",
     "pump rental\nsolar lamp\npump rental\npump rental\nsolar lamp\nsolar lamp\npump rental",
+    "solar lamp near Oak Bridge\nsolar lamp in Elm Street\nsolar lamp Pine Hall\nsolar lamp near Ash Mill\nsolar lamp in Fir Lane\nsolar lamp near Yew Dock\nNo losses were recorded in ward 2.",
+    "Looking for blankets? Our blankets is the blankets you want. Call for blankets, book blankets, get blankets now. Best blankets for blankets buyers, blankets today.",
     "Tags: rescue boat, blankets, sale, size L, blue, new, cheap generator",
 ]
 REAL = [
@@ -147,6 +149,7 @@ REAL = [
     "Hourly log\n00:00 gauge 168 cm, no change\n01:00 gauge 134 cm, no change\n02:00 gauge 80 cm, no change",
     "The road was blocked near the mill. Volunteers repaired two boats. See http://help.example/map",
     "Crew roster\nboat-013 ward 35 from 12.49 am; boat-009 ward 21 from 14:55; boat-059 ward 32 from 12:45; boat-003 ward 38 from 10am; boat-029 ward 26 from 02:49; boat-021 ward 35 from 2pm",
+    "Road status\nOak Bridge to Elm Hall: boats only, 3 feet water\nPine Mill to Ash Dock: closed, 9 feet water\nFir Lane to Yew Street: open",
     "",
     "\n",
 ]
@@ -163,9 +166,9 @@ def test_not_stuffed(t):
 
 
 def test_spam_pages(spark):
-    rows = [(i, SPAM[i % len(SPAM)], f"http://bad.example/{i}") for i in range(60)] + [(100 + i, REAL[i % 4], f"www.good.example/{i}") for i in range(60)] + [(900, None, None)]
+    rows = [(i, SPAM[i % len(SPAM)], f"http://bad.example/{i}") for i in range(64)] + [(100 + i, REAL[i % 5], f"www.good.example/{i}") for i in range(60)] + [(900, None, None)]
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, page_url string, share double")
     got = {r.doc_id: r.spam for r in spam.scored(df).collect()}
-    assert {k for k, v in got.items() if v} == set(range(60))
-    assert len(got) == 121
+    assert {k for k, v in got.items() if v} == set(range(64))
+    assert len(got) == 125
     assert spam.scored(df.limit(0)).count() == 0

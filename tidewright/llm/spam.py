@@ -124,11 +124,28 @@ def analyse(t: str) -> list[float]:
     """The features of a text, in the order of FEATURES."""
     us = units(t)
     kinds = [unit_kind(u) for u in us]
-    # Keywords may stand one to a line.
-    short = [i for i, (u, k) in enumerate(zip(us, kinds)) if k == "text" and len(u.split()) <= 6 and not re.search(r"[\d.!?।:]", u)]
-    if len(short) >= 6 and len({us[i].strip().lower() for i in short}) <= 0.6 * len(short):
-        for i in short:
+    # Keywords may stand one to a line, alone or before a place.
+    short = [i for i, (u, k) in enumerate(zip(us, kinds)) if k == "text" and len(u.split()) <= 10 and not re.search(r"[\d.!?।:]", u)]
+    heads = {i: " ".join(us[i].lower().split()[:2]) for i in short}
+    often = Counter(heads.values())
+    same = [i for i in short if often[heads[i]] >= 3]
+    if len(same) >= 6:
+        for i in same:
             kinds[i] = "list"
+    brief = [i for i in short if len(us[i].split()) <= 6]
+    if len(brief) >= 6 and len({us[i].strip().lower() for i in brief}) <= 0.6 * len(brief):
+        for i in brief:
+            kinds[i] = "list"
+    # A word that several sentences repeat within themselves is a keyword.
+    again: Counter = Counter()
+    inside: list[Counter] = []
+    for u, k in zip(us, kinds):
+        w = Counter(x.lower() for x in WORD.findall(u) if len(x) > 4) if k in ("text", "repeat") and not re.search(r"\d", u) else Counter()
+        inside.append(w)
+        again.update(x for x, c in w.items() if c > 1)
+    for i, w in enumerate(inside):
+        if kinds[i] == "text" and any(c > 1 and again[x] >= 3 for x, c in w.items()):
+            kinds[i] = "repeat"
     # A short remnant beside repeated units ("Looking for X?") repeats their keyword.
     grams: Counter = Counter()
     for u, k in zip(us, kinds):
