@@ -197,4 +197,7 @@ select (case when dq > dr and dq > ds then -rr-rs else rq end)::bigint::varchar
  count(*) as demands, coalesce(sum(people), 0)::bigint as people from e group by 1""",
 }
 
+for _n, _cols in (("t1_extract", ("people_raw", "vulnerability_raw", "urgency_raw")), ("ga_cascade", ("confidence",))):
+    SQL[_n] = f"select * replace ({', '.join(f'cast({c} as double) as {c}' for c in _cols)}) from ({SQL[_n]})"
+
 QUERIES = {f.__name__: f for f in (n1_language, n2_tokens, n3_expanded, n5_corrections, n9_place_norm, t1_extract, t2_need_mix, ga_cascade, gc_written, gd_gazetteer, ge_generic, gk_hex_totals)}
