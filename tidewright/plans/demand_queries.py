@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import triage, trust
 from tidewright.plans import text_queries as tq
+from tidewright.session import cut
 from tidewright.sources.tables import table
 
 
@@ -29,7 +30,7 @@ def _reports(spark: SparkSession, root: str) -> DataFrame:
 
 def k1_trust_score(spark: SparkSession, root: str) -> DataFrame:
     """Trust of each demand's reports as of the last message received."""
-    r = _reports(spark, root)
+    r = cut(_reports(spark, root), "reports")  # five aggregates read it: texts are parsed once
     last = table(spark, root, "messages").agg(F.max(F.expr("unix_micros(cast(received_at as timestamp))")).alias("x")).first()["x"]
     return trust.score(r, "demand_id", F.lit(last))
 
