@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.spatial import DEGREE_M, haversine_m
+from tidewright.operators.spatial import EARTH_M, haversine_m, located
 from tidewright.session import cut
 
 ROAD_KMH, BOAT_KMH = 40.0, 9.0
@@ -54,32 +54,44 @@ UNCERTAIN = {"point": 60.0, "building": 180.0, "street": 550.0, "ward": 2600.0}
 BASE_M, MOST_M, MINUTES, RATIO = 180.0, 3000.0, 90, 1.6
 
 
-def gated(items: DataFrame) -> DataFrame:
-    """Pairs (a < b) of located items (message_id, lat, lon, us, resolution,
-    need_type, people, sure) that pass the gate: at most 90 minutes and the
-    joint uncertainty apart, of one need, and of like headcount if both are sure.
+def _met(items: DataFrame) -> DataFrame:
+    """(a, b, radius, ...) for each pair of rows that meets in time, place, need
+    and headcount: see `gated`.
 
-    One side registers in its own cell of a grid as wide as the largest radius,
-    the other in the nine cells around it, and likewise for slots of time, so no
-    pair is lost and none is compared twice.
+    Cells lie in space, on the unit sphere: two points are as far apart there as
+    on the ground at every latitude and across the date line.  One side registers
+    in its own cell, the other in all cells that its largest radius reaches, and
+    likewise for slots of time, so no pair is lost and none is compared twice.
     """
-    side = MOST_M * 1.01 / DEGREE_M
+    chord = MOST_M * 1.001 / EARTH_M
     u = F.lit(None).cast("double")
     for k, v in UNCERTAIN.items():
         u = F.when(F.col("resolution") == k, v).otherwise(u)
-    d = items.withColumn("u", u).filter("u is not null and lat is not null and lon is not null and us is not null")
-    d = d.withColumn("gy", F.floor(F.col("lat") / side)).withColumn("gx", F.floor(F.col("lon") / side)).withColumn("slot", F.floor(F.col("us") / F.lit(MINUTES * 60_000_000)))
-    near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    b = d
-    for c in ("gy", "gx", "slot"):
-        b = b.withColumn("_k", F.explode(near)).withColumn(c, F.col(c) + F.col("_k")).drop("_k")
-    cols = ["message_id", "lat", "lon", "us", "people", "sure", "u"]
-    x = d.select("gy", "gx", "slot", "need_type", *[F.col(c).alias(f"a_{c}") for c in cols])
-    y = b.select("gy", "gx", "slot", "need_type", *[F.col(c).alias(f"b_{c}") for c in cols])
-    j = x.join(y, ["gy", "gx", "slot", "need_type"]).filter(F.col("a_message_id") < F.col("b_message_id"))
+    d = located(items).withColumn("u", u).filter("u is not null and us is not null")
+    y, x = F.radians("lat"), F.radians("lon")
+    axes = {"cx": F.cos(y) * F.cos(x), "cy": F.cos(y) * F.sin(x), "cz": F.sin(y)}
+    cell = lambda c: F.floor(c / F.lit(chord))
+    d = d.withColumn("slot", F.floor(F.col("us") / F.lit(MINUTES * 60_000_000)))
+    b = d.withColumn("slot", F.explode(F.array(*[F.col("slot") + k for k in (-1, 0, 1)])))
+    for c, v in axes.items():
+        # Along an axis, a step over the ground of length `chord` is at most this long.
+        reach = chord * F.sqrt(F.greatest(F.lit(0.0), 1 - v * v)) + chord * chord
+        b = b.withColumn(c, F.explode(F.sequence(cell(v - reach), cell(v + reach))))
+        d = d.withColumn(c, cell(v))
+    keys, cols = [*axes, "slot", "need_type"], ["message_id", "lat", "lon", "us", "people", "sure", "u"]
+    p = d.select(*keys, *[F.col(c).alias(f"a_{c}") for c in cols])
+    q = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in cols])
+    j = p.join(q, keys).filter(F.col("a_message_id") < F.col("b_message_id"))
     hi, lo = F.greatest("a_people", "b_people"), F.least("a_people", "b_people")
     heads = ~(F.col("a_sure") & F.col("b_sure") & (lo > 0)) | (hi <= F.lit(RATIO) * lo)
     radius = BASE_M + F.col("a_u") + F.col("b_u")
     cheap = (F.abs(F.col("a_us") - F.col("b_us")) <= MINUTES * 60_000_000) & heads & (radius <= MOST_M)
     j = j.filter(cheap).filter(haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= radius)
-    return j.select(F.col("a_message_id").alias("a"), F.col("b_message_id").alias("b")).distinct()
+    return j.select(F.col("a_message_id").alias("a"), F.col("b_message_id").alias("b"), radius.alias("radius"), lo.alias("lo"), hi.alias("hi"))
+
+
+def gated(items: DataFrame) -> DataFrame:
+    """Pairs (a < b) of located items (message_id, lat, lon, us, resolution,
+    need_type, people, sure) that pass the gate: at most 90 minutes and the
+    joint uncertainty apart, of one need, and of like headcount if both are sure."""
+    return _met(items).select("a", "b").distinct()
