@@ -31,3 +31,13 @@ def test_gate_loses_no_pair_at_any_latitude(spark):
     rows += [(f"n{k}", 76.5, 9.6 + k * 0.045, 0, "ward" if k % 2 else "point", "boat", 4, True) for k in range(6)]
     got = [(p.a, p.b) for p in graph.gated(spark.createDataFrame(rows, ITEM)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+
+
+def test_wide_pairs_need_a_higher_bar_and_like_headcounts(spark):
+    rows = [
+        ("a", 9.5, 76.4, 0, "ward", "boat", 4, True), ("b", 9.501, 76.4, 0, "point", "boat", 5, True), ("c", 9.502, 76.4, 0, "point", "boat", 6, False),
+        ("d", 9.5, 76.401, 0, "point", "boat", 0, False), ("e", 9.5, 76.5, 0, "point", "boat", 4, True),
+    ]
+    got = {(p.a, p.b): p.bar for p in graph.barred(spark.createDataFrame(rows, ITEM)).collect()}
+    # a and c: 6 > 1.35 * 4, although one of the counts is not sure.
+    assert got == {("a", "b"): 0.86, ("a", "d"): 0.86, ("b", "c"): 0.68, ("b", "d"): 0.68, ("c", "d"): 0.68}

@@ -41,19 +41,21 @@ def frame(need: Column, flags: Column, level: Column, people: Column) -> Column:
     return F.transform(F.array(v), lambda x: F.transform(x, lambda y: y / F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, z: a + z * z))))[0]
 
 
-def similar(pairs: DataFrame, vectors: DataFrame, frames: DataFrame, ident: str, least: float) -> DataFrame:
-    """(a, b, cosine) of the pairs (a, b) whose joint vectors are alike.
+def similar(pairs: DataFrame, vectors: DataFrame, frames: DataFrame, ident: str, least: float | str) -> DataFrame:
+    """(a, b, cosine) of the pairs (a, b) whose joint vectors are alike: their
+    cosine is at least `least`, a number or a column of `pairs`.
 
     Both parts have unit length, so the cosine of the joint vector is the
     weighted mean of the parts' cosines; shared buckets meet by equality.
     """
     a = vectors.select(F.col(ident).alias("a"), "bucket", F.col("w").alias("wa"))
     b = vectors.select(F.col(ident).alias("b"), "bucket", F.col("w").alias("wb"))
-    lex = pairs.join(a, "a").join(b, ["b", "bucket"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("lex"))
+    lex = pairs.select("a", "b").join(a, "a").join(b, ["b", "bucket"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("lex"))
     x = frames.select(F.col(ident).alias("a"), F.col("frame").alias("fa"))
     y = frames.select(F.col(ident).alias("b"), F.col("frame").alias("fb"))
     j = pairs.join(lex, ["a", "b"], "left").join(x, "a").join(y, "b")
     sem = F.aggregate(F.zip_with("fa", "fb", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     l2, s2 = LEXICAL**2, SEMANTIC**2
     cos = (l2 * F.coalesce("lex", F.lit(0.0)) + s2 * sem) / (l2 + s2)
-    return j.select("a", "b", F.round(cos, 6).alias("cosine")).filter(F.col("cosine") >= least)
+    bar = F.col(least) if isinstance(least, str) else F.lit(least)
+    return j.select("a", "b", F.round(cos, 6).alias("cosine"), bar.alias("bar")).filter("cosine >= bar").drop("bar")

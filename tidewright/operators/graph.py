@@ -52,6 +52,8 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float, per_source: boo
 # Metres of uncertainty by resolution.
 UNCERTAIN = {"point": 60.0, "building": 180.0, "street": 550.0, "ward": 2600.0}
 BASE_M, MOST_M, MINUTES, RATIO = 180.0, 3000.0, 90, 1.6
+# Beyond PRECISE_M of joint uncertainty, texts and headcounts must agree more closely.
+PRECISE_M, ALIKE, COARSE_ALIKE, COARSE_RATIO = 1400.0, 0.68, 0.86, 1.35
 
 
 def _met(items: DataFrame) -> DataFrame:
@@ -95,3 +97,13 @@ def gated(items: DataFrame) -> DataFrame:
     need_type, people, sure) that pass the gate: at most 90 minutes and the
     joint uncertainty apart, of one need, and of like headcount if both are sure."""
     return _met(items).select("a", "b").distinct()
+
+
+def barred(items: DataFrame) -> DataFrame:
+    """(a, b, bar): pairs that pass the gate and the least cosine that links them.
+    A radius of at most 1,400 m asks for .68; a wider one for .86, and for
+    headcounts within 1.35 of each other (sure or not) if both are known."""
+    near = F.col("radius") <= PRECISE_M
+    like = (F.col("lo") <= 0) | (F.col("hi") <= F.lit(COARSE_RATIO) * F.col("lo"))
+    m = _met(items).withColumn("bar", F.when(near, ALIKE).when(F.coalesce(like, F.lit(True)), COARSE_ALIKE))
+    return m.filter("bar is not null").groupBy("a", "b").agg(F.min("bar").alias("bar"))

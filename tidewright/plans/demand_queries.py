@@ -198,6 +198,9 @@ select distinct a.message_id as a, b.message_id as b from i a join i b on a.need
 
 _FRAME = ("[" + ", ".join([f"(need_type = '{n}')::int::double" for n in triage.NEEDS] + [f"case when list_contains(string_split(flags, ','), '{f}') then 0.7 else 0.0 end" for f in ("disabled", "elderly", "infant", "injured", "pregnant")]
  + [f"case when level = '{x}' then 0.8 else 0.0 end" for x in ("none", "mild", "moderate", "critical")] + [f"case when floor(hb) = {k} then (1 - (hb - floor(hb))) * 0.9 when floor(hb) + 1 = {k} then (hb - floor(hb)) * 0.9 else 0.0 end" for k in range(4)]) + "]::double[]")
+ITEMS_SQL = f"""with x as ({_T}), c as (select distinct message_id, lat, lon, resolution from message_locations where lat is not null and lon is not null)
+select message_id, people, lat, lon, case resolution when 'point' then 60 when 'building' then 180 when 'street' then 550 when 'ward' then 2600 end u from x join c using (message_id)"""
+
 ALIKE_SQL = f"""select a, b, cosine from (with gate as ({GATE_SQL}), x as ({_T}), ids as (select a message_id from gate union select b from gate),
 t as (select message_id, ' ' || {tq._PN.format('any_value(raw_text)')} || ' ' t from messages where raw_text is not null and received_at is not null group by message_id),
 g as (select message_id, unnest(list_concat(list_concat(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3)), list_transform(range(1, greatest(length(t) - 2, 2)), lambda i: substr(t, i, 4))), list_transform(range(1, greatest(length(t) - 3, 2)), lambda i: substr(t, i, 5)))) g

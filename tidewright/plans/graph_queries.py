@@ -53,20 +53,25 @@ def d3_gate_pairs(spark: SparkSession, root: str) -> DataFrame:
 ALIKE = 0.68
 
 
-def _similar(spark: SparkSession, root: str) -> DataFrame:
+def _similar(spark: SparkSession, root: str, pairs_of=graph.gated, least: float | str = ALIKE) -> DataFrame:  # noqa: ANN001
     items = demand_queries.message_frames(spark, root)
-    pairs = cut(graph.gated(items), "gate")
+    pairs = cut(pairs_of(items), "gate")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("message_id")).distinct()
     vectors = embed.lexical(items.join(ids, "message_id", "left_semi"), "message_id", "raw_text")
     frames = items.select("message_id", embed.frame(F.col("need_type"), F.col("flags"), F.col("level"), F.col("people")).alias("frame"))
-    return embed.similar(pairs, vectors, frames, "message_id", ALIKE)
+    return embed.similar(pairs, vectors, frames, "message_id", least)
 
 
 def e3_similar_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Pairs that pass the gate and whose text and structure are alike."""
+    """Pairs that pass the gate and have a cosine of .68 at least, at every radius; `d3_links` has the pairs that count as one happening."""
     return _similar(spark, root)
 
 
+def d3_links(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs that pass the whole gate: beyond a radius of 1,400 m only those with a cosine of .86 and like headcounts."""
+    return _similar(spark, root, graph.barred, "bar")
+
+
 def d4_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Clusters of reports: components of alike pairs, with their size and spread in metres."""
     sims = cut(_similar(spark, root), "alike").select("a", "b")
@@ -82,6 +87,7 @@ def d4_clusters(spark: SparkSession, root: str) -> DataFrame:
 _EDGES = """edges as (with s as (select h3_cell, least(a, b) p, greatest(a, b) q from (select h3_cell, {'y': round(boundary[k].lat, 6), 'x': round(boundary[k].lon, 6)} a, {'y': round(boundary[k+1].lat, 6), 'x': round(boundary[k+1].lon, 6)} b from zones, unnest(range(1, len(boundary))) t(k)))
 select distinct l.h3_cell u, r.h3_cell v from s l join s r on l.p = r.p and l.q = r.q and l.h3_cell <> r.h3_cell)"""
 _LEN = "2*6371000*asin(least(1.0, sqrt(power(sin(radians(b.centre_lat-a.centre_lat)/2),2)+cos(radians(a.centre_lat))*cos(radians(b.centre_lat))*power(sin(radians(b.centre_lon-a.centre_lon)/2),2))))"
+_HAV = "2*6371000*asin(least(1.0, sqrt(power(sin(radians(q.lat-p.lat)/2),2)+cos(radians(p.lat))*cos(radians(q.lat))*power(sin(radians(q.lon-p.lon)/2),2))))"
 
 SQL = {
     "g2_components": """with recursive k as (select distinct demand_id, unnest(source_message_ids) mid from demands), l as (select * from k where mid <> ''),
@@ -92,6 +98,10 @@ select component, count(*) as members from (select x, min(y) component from (sel
     "g3_hops": f"with recursive {_EDGES}, r as (select min(h3_cell) node, 0 hops from zones union select v, hops + 1 from r join edges on u = node where hops < 12) select node, min(hops)::int as hops from r group by node",
     "d3_gate_pairs": demand_queries.GATE_SQL,
     "e3_similar_pairs": demand_queries.ALIKE_SQL,
+    "d3_links": f"""with s as ({demand_queries.ALIKE_SQL}), i as ({demand_queries.ITEMS_SQL}),
+r as (select s.a, s.b, cosine, 180 + p.u + q.u radius, least(p.people, q.people) lo, greatest(p.people, q.people) hi from s join i p on p.message_id = s.a join i q on q.message_id = s.b
+ where 180 + p.u + q.u <= 3000 and {_HAV} <= 180 + p.u + q.u)
+select distinct a, b, cosine from r where radius <= 1400 or cosine >= 0.86 and (lo <= 0 or hi <= 1.35::double * lo)""",
     "d4_clusters": f"""with recursive s as ({demand_queries.ALIKE_SQL}), f as (select a x, b y from s union select b, a from s union select a, a from s union select b, b from s),
 r as (select x, y from f union select r.x, f.y from r join f on r.y = f.x), c as (select x message_id, min(y) component from (select * from r) group by x),
 l as (select distinct message_id, lat, lon from message_locations where lat is not null and lon is not null),
@@ -99,4 +109,4 @@ g as (select component, count(distinct message_id) members, min(lat) y0, max(lat
 select component, members, round(2*6371000*asin(least(1.0, sqrt(power(sin(radians(y1-y0)/2),2)+cos(radians(y0))*cos(radians(y1))*power(sin(radians(x1-x0)/2),2)))), 3) as box_m from g""",
 }
 
-QUERIES = {f.__name__: f for f in (g2_components, g1_edges, g3_hops, g5_nearest_depot, d3_gate_pairs, e3_similar_pairs, d4_clusters)}
+QUERIES = {f.__name__: f for f in (g2_components, g1_edges, g3_hops, g5_nearest_depot, d3_gate_pairs, e3_similar_pairs, d3_links, d4_clusters)}
