@@ -1,10 +1,12 @@
 """The pair gate, clusters and travel times against brute force."""
 
+import math
 import random
 
 from test_spatial import hav
 
-from tidewright.operators import graph
+from tidewright.operators import clusters, graph
+from tidewright.plans import graph_queries
 
 ITEM = "message_id string, lat double, lon double, us long, resolution string, need_type string, people int, sure boolean"
 
@@ -41,3 +43,50 @@ def test_wide_pairs_need_a_higher_bar_and_like_headcounts(spark):
     got = {(p.a, p.b): p.bar for p in graph.barred(spark.createDataFrame(rows, ITEM)).collect()}
     # a and c: 6 > 1.35 * 4, although one of the counts is not sure.
     assert got == {("a", "b"): 0.86, ("a", "d"): 0.86, ("b", "c"): 0.68, ("b", "d"): 0.68, ("c", "d"): 0.68}
+
+
+def test_chains_are_split_and_single_reports_kept(spark):
+    r = random.Random(5)
+    bar, vec, groups = clusters.CENTRE_ALIKE, {}, []
+    for c, size in (("p", 9), ("q", 14), ("r", 2), ("s", 1), ("t", 30)):
+        for i in range(size):
+            v = [r.gauss(0, 1) + (c == "q") for _ in range(4)]
+            n = math.sqrt(sum(x * x for x in v))
+            vec[f"{c}{i:02}"] = [x / n for x in v]
+            groups.append((f"{c}{i:02}", c))
+
+    def split(members):
+        out = []
+        while members:
+            if len(members) <= 2:
+                return [*out, members]
+            s = [sum(vec[m][k] for m in members) for k in range(4)]
+            n = math.sqrt(sum(x * x for x in s))
+            keep = [m for m in members if sum(x * y for x, y in zip(vec[m], s)) / n >= bar]
+            if not keep:
+                return out + [[m] for m in members]
+            out.append(keep)
+            members = [m for m in members if m not in keep]
+        return out
+
+    want = {(m, min(x)) for c in "pqrst" for x in split([m for m, g in groups if g == c]) if x for m in x}
+    v = spark.createDataFrame([(m, str(k), x) for m, xs in vec.items() for k, x in enumerate(xs)], "node string, dim string, w double")
+    got = clusters.refined(spark.createDataFrame(groups, "node string, component string"), v)
+    assert {(x.node, x.cluster) for x in got.collect()} == want and len({c for _, c in want}) > 5
+
+
+def test_spread_is_the_largest_distance(spark):
+    r = random.Random(6)
+    pts = [(c, y + r.uniform(-s, s), x + r.uniform(-s, s)) for c, y, x, s in (("a", 9.5, 76.4, 0.02), ("b", 76.5, 9.6, 0.01)) for _ in range(60)]
+    pts += [("one", 9.0, 76.0)] * 2
+    got = {x.cluster: x.metres for x in clusters.spread(spark.createDataFrame(pts, "cluster string, lat double, lon double")).collect()}
+    for c in ("a", "b", "one"):
+        own = [p for p in pts if p[0] == c]
+        assert abs(got[c] - max(hav(*p[1:], *q[1:]) for p in own for q in own)) < 1e-6
+
+
+def test_clusters_hold_every_message(spark, root):
+    rows = graph_queries.d5_clusters(spark, root).collect()
+    m = spark.read.parquet(f"{root}/messages.parquet").filter("raw_text is not null and received_at is not null")
+    assert sum(x.members for x in rows) == m.select("message_id").distinct().count()
+    assert any(x.members == 1 for x in rows) and all(x.spread_m == 0 for x in rows if x.members == 1)

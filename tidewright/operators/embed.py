@@ -41,6 +41,16 @@ def frame(need: Column, flags: Column, level: Column, people: Column) -> Column:
     return F.transform(F.array(v), lambda x: F.transform(x, lambda y: y / F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, z: a + z * z))))[0]
 
 
+def joint(items: DataFrame, ident: str) -> DataFrame:
+    """(id, dim, w): unit vectors of both parts of `items` (id, raw_text, need_type,
+    flags, level, people), whose products are the cosines of `similar`."""
+    size = (LEXICAL**2 + SEMANTIC**2) ** 0.5
+    lex = lexical(items, ident, "raw_text").select(ident, F.col("bucket").alias("dim"), (F.col("w") * (LEXICAL / size)).alias("w"))
+    f = items.select(ident, F.posexplode(frame(F.col("need_type"), F.col("flags"), F.col("level"), F.col("people"))).alias("k", "v"))
+    sem = f.filter("v <> 0").select(ident, F.concat(F.lit("f"), F.col("k").cast("string"), F.lit(".")).alias("dim"), (F.col("v") * (SEMANTIC / size)).alias("w"))
+    return lex.unionByName(sem)
+
+
 def similar(pairs: DataFrame, vectors: DataFrame, frames: DataFrame, ident: str, least: float | str) -> DataFrame:
     """(a, b, cosine) of the pairs (a, b) whose joint vectors are alike: their
     cosine is at least `least`, a number or a column of `pairs`.

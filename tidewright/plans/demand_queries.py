@@ -170,11 +170,19 @@ def message_frames(spark: SparkSession, root: str) -> DataFrame:
     return _located_items(spark, root, m)
 
 
-def _located_items(spark: SparkSession, root: str, m: DataFrame) -> DataFrame:
+def messages_read(spark: SparkSession, root: str) -> DataFrame:
+    """As `message_frames`, of all messages and without their places."""
+    return _read(table(spark, root, "messages").filter("raw_text is not null and received_at is not null").dropDuplicates(["message_id"]))
+
+
+def _read(m: DataFrame) -> DataFrame:
     m = m.select("message_id", "raw_text", F.expr("unix_micros(cast(received_at as timestamp))").alias("us"), triage.extraction(F.col("raw_text")).alias("e"))
+    return m.select("message_id", "raw_text", "us", "e.need.need_type", "e.head.people", (F.col("e.head.raw") >= 0.85).alias("sure"), "e.vuln.flags", "e.urgency.level")
+
+
+def _located_items(spark: SparkSession, root: str, m: DataFrame) -> DataFrame:
     loc = table(spark, root, "message_locations").filter("lat is not null and lon is not null").select("message_id", "lat", "lon", "resolution").distinct()
-    m = m.select("message_id", "raw_text", "us", "e.need.need_type", "e.head.people", (F.col("e.head.raw") >= 0.85).alias("sure"), "e.vuln.flags", "e.urgency.level")
-    return m.join(loc, "message_id")
+    return _read(m).join(loc, "message_id")
 
 
 _T = tq.SQL["t1_extract"].replace(tq._M, "(select message_id, any_value(raw_text) raw_text from messages where raw_text is not null and received_at is not null group by message_id)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import embed, graph
+from tidewright.operators import clusters, embed, graph
 from tidewright.operators.components import by_shared_keys
 from tidewright.operators.spatial import haversine_m
 from tidewright.plans import demand_queries
@@ -73,7 +73,7 @@ def d3_links(spark: SparkSession, root: str) -> DataFrame:
 
 
 def d4_clusters(spark: SparkSession, root: str) -> DataFrame:
-    """Clusters of reports: components of alike pairs, with their size and spread in metres."""
+    """Components of alike pairs, with their size and the diagonal of their box in metres; `d5_clusters` has the clusters without chains."""
     sims = cut(_similar(spark, root), "alike").select("a", "b")
     links = sims.select(F.explode(F.array("a", "b")).alias("message_id"), F.concat_ws("|", "a", "b").alias("k"))
     c = by_shared_keys(links, "message_id", "k")
@@ -84,6 +84,20 @@ def d4_clusters(spark: SparkSession, root: str) -> DataFrame:
     return g.select("component", "members", F.round(haversine_m(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1")), 3).alias("box_m"))
 
 
+def d5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Clusters of all messages by the whole gate, without chains and with those that stand alone: size and largest distance between members."""
+    links = cut(d3_links(spark, root), "links").select("a", "b")
+    m = cut(demand_queries.messages_read(spark, root), "texts")
+    c = by_shared_keys(links.select(F.explode(F.array("a", "b")).alias("node"), F.concat_ws("|", "a", "b").alias("k")), "node", "k")
+    groups = m.select(F.col("message_id").alias("node")).join(c, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    linked = m.join(c.select(F.col("node").alias("message_id")), "message_id", "left_semi")
+    of = clusters.refined(groups, embed.joint(linked, "message_id").withColumnRenamed("message_id", "node"))
+    loc = table(spark, root, "message_locations").filter(F.col("resolution").isin(list(graph.UNCERTAIN))).select(F.col("message_id").alias("node"), "lat", "lon")
+    wide = clusters.spread(of.join(loc, "node"))
+    g = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).join(wide, "cluster", "left")
+    return g.select("cluster", "members", F.round(F.coalesce("metres", F.lit(0.0)), 3).alias("spread_m"))
+
+
 _EDGES = """edges as (with s as (select h3_cell, least(a, b) p, greatest(a, b) q from (select h3_cell, {'y': round(boundary[k].lat, 6), 'x': round(boundary[k].lon, 6)} a, {'y': round(boundary[k+1].lat, 6), 'x': round(boundary[k+1].lon, 6)} b from zones, unnest(range(1, len(boundary))) t(k)))
 select distinct l.h3_cell u, r.h3_cell v from s l join s r on l.p = r.p and l.q = r.q and l.h3_cell <> r.h3_cell)"""
 _LEN = "2*6371000*asin(least(1.0, sqrt(power(sin(radians(b.centre_lat-a.centre_lat)/2),2)+cos(radians(a.centre_lat))*cos(radians(b.centre_lat))*power(sin(radians(b.centre_lon-a.centre_lon)/2),2))))"
@@ -109,4 +123,4 @@ g as (select component, count(distinct message_id) members, min(lat) y0, max(lat
 select component, members, round(2*6371000*asin(least(1.0, sqrt(power(sin(radians(y1-y0)/2),2)+cos(radians(y0))*cos(radians(y1))*power(sin(radians(x1-x0)/2),2)))), 3) as box_m from g""",
 }
 
-QUERIES = {f.__name__: f for f in (g2_components, g1_edges, g3_hops, g5_nearest_depot, d3_gate_pairs, e3_similar_pairs, d3_links, d4_clusters)}
+QUERIES = {f.__name__: f for f in (g2_components, g1_edges, g3_hops, g5_nearest_depot, d3_gate_pairs, e3_similar_pairs, d3_links, d4_clusters, d5_clusters)}
