@@ -90,3 +90,34 @@ def test_clusters_hold_every_message(spark, root):
     m = spark.read.parquet(f"{root}/messages.parquet").filter("raw_text is not null and received_at is not null")
     assert sum(x.members for x in rows) == m.select("message_id").distinct().count()
     assert any(x.members == 1 for x in rows) and all(x.spread_m == 0 for x in rows if x.members == 1)
+
+
+def reach(edges, start, limit):
+    dist = {start: 0.0}
+    for _ in range(len(edges)):
+        new = {v: dist[u] + w for u, v, w in edges if u in dist and dist[u] + w <= limit and dist[u] + w < dist.get(v, math.inf) - 1e-9}
+        if not new:
+            break
+        for u, v, w in edges:
+            if u in dist and dist[u] + w <= limit:
+                dist[v] = min(dist.get(v, math.inf), dist[u] + w)
+    return dist
+
+
+def test_travel_reaches_all_within_the_limit(spark, monkeypatch):
+    r = random.Random(7)
+    edges = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(40)] + [(f"n{r.randrange(41):02}", f"n{r.randrange(41):02}", r.uniform(3, 9)) for _ in range(30)]
+    e = spark.createDataFrame(edges, "u string, v string, w double")
+    s = spark.createDataFrame([("n00",), ("n20",), ("alone",), ("n00",)], "node string")
+    for rows in (200_000, 5):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+        got = sorted((x.source, x.node, round(x.dist, 6)) for x in graph.travel(e, s, 35.0).collect())
+        assert got == sorted((a, n, round(d, 6)) for a in ("n00", "n20", "alone") for n, d in reach(edges, a, 35.0).items())
+
+
+def test_seconds_reach_beyond_twelve_steps(spark, root):
+    d = graph_queries.g3_seconds(spark, root)
+    road = d.filter("asset_type = 'truck'")
+    n, zones = road.select("source").distinct().count(), spark.read.parquet(f"{root}/zones.parquet").count()
+    assert n == 133 and road.count() == n * zones
+    assert d.filter("seconds > 14400").isEmpty() and {x.asset_type for x in d.select("asset_type").distinct().collect()} == {"ambulance", "boat", "truck"}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.spatial import EARTH_M, haversine_m, located
-from tidewright.session import cut
+from tidewright.session import BROADCAST_ROWS, cut
 
 ROAD_KMH, BOAT_KMH = 40.0, 9.0
 
@@ -46,9 +49,44 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float, per_source: boo
         best = cut(least.select(*keys, "b.dist", (F.col("b.new") == 1).alias("fresh")), "dist")
         if best.filter("fresh").isEmpty():
             break
+    else:
+        raise RuntimeError(f"distances did not settle in {rounds} rounds")
     return best.drop("fresh")
 
 
+def travel(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
+    """(source, node, dist) of all nodes within `limit` of each of `sources` (node).
+
+    A graph of at most BROADCAST_ROWS edges goes to every task, which walks it
+    from one source after the other; a larger one is relaxed by `shortest`.
+    """
+    e = edges.groupBy("u", "v").agg(F.min("w").alias("w"))
+    spark, s = edges.sparkSession, sources.select("node").distinct()
+    rows = e.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return shortest(e, s, limit, per_source=True, rounds=10_000)
+    out: dict[str, list[tuple[str, float]]] = {}
+    for u, v, w in rows:
+        out.setdefault(u, []).append((v, w))
+    sent = spark.sparkContext.broadcast(out)
+
+    def walk(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for start in batch.column("node").to_pylist():
+                dist, heap = {}, [(0.0, start)]
+                while heap:
+                    d, n = heapq.heappop(heap)
+                    if n not in dist:
+                        dist[n] = d
+                        for v, w in sent.value.get(n, ()):
+                            if v not in dist and d + w <= limit:
+                                heapq.heappush(heap, (d + w, v))
+                yield pa.RecordBatch.from_pydict({"source": [start] * len(dist), "node": list(dist), "dist": list(dist.values())})
+
+    parts = max(1, spark.sparkContext.defaultParallelism * 4)
+    return s.filter("node is not null").repartition(parts).mapInArrow(walk, "source string, node string, dist double")
+
+
 # Metres of uncertainty by resolution.
 UNCERTAIN = {"point": 60.0, "building": 180.0, "street": 550.0, "ward": 2600.0}
 BASE_M, MOST_M, MINUTES, RATIO = 180.0, 3000.0, 90, 1.6

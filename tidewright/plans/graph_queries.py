@@ -13,6 +13,9 @@ from tidewright.session import cut
 from tidewright.sources.tables import table
 
 HOPS = 12
+LIMIT_S = 4 * 3600.0
+# Assets that verify by telephone, and the seconds that this takes anywhere.
+VERIFIERS, VERIFY_S = ("operator", "volunteer"), 180.0
 
 
 def g2_components(spark: SparkSession, root: str) -> DataFrame:
@@ -28,7 +31,7 @@ def g1_edges(spark: SparkSession, root: str) -> DataFrame:
 
 
 def g3_hops(spark: SparkSession, root: str) -> DataFrame:
-    """Zones within 12 steps of the first zone, with the number of steps."""
+    """Zones within 12 steps of the first zone, with the number of steps; `g3_seconds` has the times from all sources."""
     z = table(spark, root, "zones")
     start = z.agg(F.min("h3_cell").alias("node"))
     edges = graph.zone_edges(z).select("u", "v", F.lit(1.0).alias("w"))
@@ -36,6 +39,25 @@ def g3_hops(spark: SparkSession, root: str) -> DataFrame:
     return d.select("node", F.col("dist").cast("int").alias("hops"))
 
 
+def _assets(spark: SparkSession, root: str) -> DataFrame:
+    """(asset_type, node): the zones that assets of each type were sent to.
+    Those of VERIFIERS call back and travel nowhere."""
+    a = table(spark, root, "served").filter("zone is not null and asset_type is not null").filter(~F.col("asset_type").isin(*VERIFIERS)).select("asset_type", F.col("zone").alias("node")).distinct()
+    return a.join(table(spark, root, "zones").select(F.col("h3_cell").alias("node")), "node", "left_semi")
+
+
+def g3_seconds(spark: SparkSession, root: str) -> DataFrame:
+    """Seconds from each source of each asset type to all zones within four hours: boats at the speed on water, others by road."""
+    assets = cut(_assets(spark, root), "assets")
+    edges = cut(graph.costed(graph.zone_edges(table(spark, root, "zones"))), "costs")
+    out = []
+    for boat, w in ((True, "boat_s"), (False, "road_s")):
+        own = assets.filter((F.col("asset_type") == "boat") == boat)
+        d = graph.travel(edges.select("u", "v", F.col(w).alias("w")), own, LIMIT_S)
+        out.append(own.withColumnRenamed("node", "source").join(d, "source"))
+    return out[0].unionByName(out[1]).select("asset_type", "source", "node", F.round("dist", 3).alias("seconds"))
+
+
 def g5_nearest_depot(spark: SparkSession, root: str) -> DataFrame:
     """Nearest of three depots by road metres for each zone within 20 km."""
     z = table(spark, root, "zones")
@@ -123,4 +145,4 @@ g as (select component, count(distinct message_id) members, min(lat) y0, max(lat
 select component, members, round(2*6371000*asin(least(1.0, sqrt(power(sin(radians(y1-y0)/2),2)+cos(radians(y0))*cos(radians(y1))*power(sin(radians(x1-x0)/2),2)))), 3) as box_m from g""",
 }
 
-QUERIES = {f.__name__: f for f in (g2_components, g1_edges, g3_hops, g5_nearest_depot, d3_gate_pairs, e3_similar_pairs, d3_links, d4_clusters, d5_clusters)}
+QUERIES = {f.__name__: f for f in (g2_components, g1_edges, g3_hops, g3_seconds, g5_nearest_depot, d3_gate_pairs, e3_similar_pairs, d3_links, d4_clusters, d5_clusters)}
