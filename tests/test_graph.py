@@ -121,3 +121,20 @@ def test_seconds_reach_beyond_twelve_steps(spark, root):
     n, zones = road.select("source").distinct().count(), spark.read.parquet(f"{root}/zones.parquet").count()
     assert n == 133 and road.count() == n * zones
     assert d.filter("seconds > 14400").isEmpty() and {x.asset_type for x in d.select("asset_type").distinct().collect()} == {"ambulance", "boat", "truck"}
+
+
+def test_nearest_source_without_a_bound(spark):
+    edges = [(f"n{i:02}", f"n{i + 1:02}", 30_000.0) for i in range(20)]
+    edges += [(v, u, w) for u, v, w in edges]
+    s = spark.createDataFrame([("n00", "b"), ("n08", "b"), ("n08", "a")], "node string, label string")
+    got = {x.node: (x.dist, x.source, x.label) for x in graph.nearest(spark.createDataFrame(edges, "u string, v string, w double"), s).collect()}
+    want = {f"n{i:02}": min((i * 30_000.0, "n00", "b"), (abs(i - 8) * 30_000.0, "n08", "a")) for i in range(21)}
+    assert got == want
+
+
+def test_every_zone_has_a_nearest_asset(spark, root):
+    rows = graph_queries.g5_nearest_depot(spark, root).collect()
+    assert len(rows) == spark.read.parquet(f"{root}/zones.parquet").count() and all(x.source for x in rows)
+    road = graph_queries.g3_seconds(spark, root).groupBy("node").min("seconds").collect()
+    assert {x.node: x.seconds for x in rows} == {n: round(s, 3) for n, s in road}
+    assert all(x.first_s == min(x.seconds, 180.0) for x in rows)

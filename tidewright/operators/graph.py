@@ -54,6 +54,27 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float, per_source: boo
     return best.drop("fresh")
 
 
+def nearest(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(node, dist, source, label) of the nearest of `sources` (node, label) for
+    each node that one reaches; the least source, then label, wins a tie.
+
+    Distances are whole thousandths of the weights, so that ties are exact; each
+    node keeps one distance, however many sources there are.
+    """
+    e = cut(edges.groupBy(F.col("u").alias("node"), "v").agg(F.round(F.min("w") * 1000).cast("bigint").alias("w")), "edges")
+    start = sources.filter("node is not null").groupBy("node").agg(F.min("label").alias("label"))
+    best = cut(start.select("node", F.lit(0).cast("bigint").alias("dist"), F.col("node").alias("source"), "label", F.lit(True).alias("fresh")), "dist")
+    cols = ["node", "dist", "source", "label"]
+    for _ in range(rounds):
+        step = best.filter("fresh").join(e, "node").select(F.col("v").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "source", "label")
+        both = best.select(*cols, F.lit(0).alias("new")).unionByName(step.select(*cols, F.lit(1).alias("new")))
+        least = both.groupBy("node").agg(F.min(F.struct("dist", "source", "label", "new")).alias("b"))
+        best = cut(least.select("node", "b.dist", "b.source", "b.label", (F.col("b.new") == 1).alias("fresh")), "dist")
+        if best.filter("fresh").isEmpty():
+            return best.select("node", (F.col("dist") / 1000.0).alias("dist"), "source", "label")
+    raise RuntimeError(f"distances did not settle in {rounds} rounds")
+
+
 def travel(edges: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     """(source, node, dist) of all nodes within `limit` of each of `sources` (node).
 

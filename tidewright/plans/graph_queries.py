@@ -59,11 +59,19 @@ def g3_seconds(spark: SparkSession, root: str) -> DataFrame:
 
 
 def g5_nearest_depot(spark: SparkSession, root: str) -> DataFrame:
-    """Nearest of three depots by road metres for each zone within 20 km."""
-    z = table(spark, root, "zones")
-    depots = z.select(F.col("h3_cell").alias("node")).orderBy("node").limit(3)  # three depots by definition
-    d = graph.shortest(graph.zone_edges(z).select("u", "v", F.col("length_m").alias("w")), depots, 20_000.0, per_source=True)
-    return d.groupBy("node").agg(F.min(F.struct("dist", "source")).alias("b")).select("node", "b.source", F.round("b.dist", 3).alias("metres"))
+    """For each zone: type, source and seconds of the nearest asset that travels, and type and seconds of the first of all assets, those that telephone included."""
+    assets = cut(_assets(spark, root), "assets")
+    edges = cut(graph.costed(graph.zone_edges(table(spark, root, "zones"))), "costs")
+    out = []
+    for boat, w in ((True, "boat_s"), (False, "road_s")):
+        own = assets.filter((F.col("asset_type") == "boat") == boat).select("node", F.col("asset_type").alias("label"))
+        out.append(graph.nearest(edges.select("u", "v", F.col(w).alias("w")), own))
+    d = out[0].unionByName(out[1]).groupBy("node").agg(F.min(F.struct(F.col("dist").alias("seconds"), "source", F.col("label").alias("asset_type"))).alias("b"))
+    calls = table(spark, root, "served").filter(F.col("asset_type").isin(*VERIFIERS)).agg(F.min("asset_type").alias("call"))
+    z = table(spark, root, "zones").select(F.col("h3_cell").alias("node")).distinct().join(d, "node", "left").crossJoin(calls)
+    called = F.col("call").isNotNull() & (F.coalesce(F.col("b.seconds"), F.lit(float("inf"))) > VERIFY_S)
+    first = F.when(called, F.struct(F.col("call").alias("t"), F.lit(VERIFY_S).alias("s"))).otherwise(F.struct(F.col("b.asset_type").alias("t"), F.col("b.seconds").alias("s")))
+    return z.select("node", "b.asset_type", "b.source", "b.seconds", first["t"].alias("first_type"), first["s"].alias("first_s"))
 
 
 def d3_gate_pairs(spark: SparkSession, root: str) -> DataFrame:
