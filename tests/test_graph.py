@@ -5,7 +5,7 @@ import random
 
 from test_spatial import hav
 
-from tidewright.operators import clusters, graph
+from tidewright.operators import clusters, graph, spatial
 from tidewright.plans import graph_queries
 
 ITEM = "message_id string, lat double, lon double, us long, resolution string, need_type string, people int, sure boolean"
@@ -138,3 +138,18 @@ def test_every_zone_has_a_nearest_asset(spark, root):
     road = graph_queries.g3_seconds(spark, root).groupBy("node").min("seconds").collect()
     assert {x.node: x.seconds for x in rows} == {n: round(s, 3) for n, s in road}
     assert all(x.first_s == min(x.seconds, 180.0) for x in rows)
+
+
+def test_near_points_list_what_is_counted(spark):
+    r = random.Random(8)
+    pts = [(i, y + r.uniform(-0.003, 0.003), x + r.uniform(-w, w)) for i, (y, x, w) in enumerate([(9.45, 76.45, 0.003), (76.5, 9.6, 0.02)] * 100)]
+    pts += [(1000 + i, 9.45, 76.45) for i in range(300)]
+    df = spark.createDataFrame(pts, "id long, lat double, lon double")
+    got = sorted((x.id, x.lat, x.lon, round(x.metres, 6)) for x in spatial.near_points(df, df.filter("id % 7 = 0"), 150.0, "id").collect())
+    spots = {(c, d) for _, c, d in pts}
+    assert got == sorted((i, c, d, round(hav(a, b, c, d), 6)) for i, a, b in pts if i % 7 == 0 for c, d in spots if hav(a, b, c, d) <= 150.0)
+    at = {}
+    for _, c, d in pts:
+        at[c, d] = at.get((c, d), 0) + 1
+    counts = {x.id: x.n_near for x in spatial.near_counts(df, df.filter("id % 7 = 0"), 150.0, "id").collect()}
+    assert counts == {i: sum(at[c, d] for j, c, d, _ in got if j == i) for i in counts}

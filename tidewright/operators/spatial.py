@@ -95,7 +95,7 @@ def near_places(points: DataFrame, places: DataFrame, name: str = "name", radius
 
 def near_counts(points: DataFrame, queries: DataFrame, metres: float, ident: str, parts: int = 4) -> DataFrame:
     """For each row of `queries` (id, lat, lon): how many rows of `points` lie
-    within `metres` of it, and the least distance to one that is elsewhere.
+    within `metres` of it; `near_points` tells which.
 
     Equal points are united with their number.  The plane is cut into cells of
     metres/parts; a cell that lies wholly within reach of a query is counted by
@@ -134,3 +134,26 @@ def near_counts(points: DataFrame, queries: DataFrame, metres: float, ident: str
     total = bulk.unionByName(rim).groupBy("qlat", "qlon").agg(F.sum("c").alias("c"))
     out = q.join(total, ["qlat", "qlon"], "left")
     return out.select(F.col("qid").alias(ident), F.coalesce("c", F.lit(0)).cast("bigint").alias("n_near"))
+
+
+def near_points(points: DataFrame, queries: DataFrame, metres: float, ident: str) -> DataFrame:
+    """(id, qlat, qlon, lat, lon, metres): for each distinct row of `queries`
+    (id, lat, lon) the distinct points of `points` within `metres` of it, its own
+    spot included.  A crowd on one spot is one point, and queries on one spot are
+    compared once.
+
+    Cells lie on the unit sphere, so that latitude and the date line do not matter.
+    """
+    chord = metres * 1.001 / EARTH_M
+    cell = lambda c: F.floor(c / F.lit(chord))
+    axes = lambda y, x: {"cx": F.cos(F.radians(y)) * F.cos(F.radians(x)), "cy": F.cos(F.radians(y)) * F.sin(F.radians(x)), "cz": F.sin(F.radians(y))}
+    p = located(points).select("lat", "lon").distinct()
+    p = p.withColumns({c: cell(v) for c, v in axes("lat", "lon").items()})
+    q = located(queries).select(F.col(ident), F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).distinct()
+    s = q.select("qlat", "qlon").distinct()
+    for c, v in axes("qlat", "qlon").items():
+        reach = chord * F.sqrt(F.greatest(F.lit(0.0), 1 - v * v)) + chord * chord
+        s = s.withColumn(c, F.explode(F.sequence(cell(v - reach), cell(v + reach))))
+    d = haversine_m(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
+    near = s.join(p, ["cx", "cy", "cz"]).withColumn("metres", d).filter(F.col("metres") <= metres).drop("cx", "cy", "cz")
+    return q.join(near, ["qlat", "qlon"]).select(ident, "qlat", "qlon", "lat", "lon", "metres")
