@@ -155,20 +155,100 @@ REAL = [
 ]
 
 
-@pytest.mark.parametrize("t", SPAM)
-def test_stuffed(t):
-    assert spam.analyse(t)[0] > 0.5
+NOUNS = "blankets lamp pump boat rope generator insurance tarpaulin loan camp food water kit medicine raft tent torch filter stove jacket".split()
+VERBS = "carried moved checked repaired counted reported found reached closed opened".split()
+WHERE = "mill bridge school library temple junction harbour market depot church".split()
+
+
+STUFFED, ORDINARY = ("links", "tags", "bars", "lines", "calls"), ("prose", "log", "stock", "linked", "brief")
+
+
+def pages(kind: str, n: int, seed: int) -> list[str]:
+    """Made-up pages of one kind, by numbers drawn from a seed."""
+    import random
+
+    r = random.Random(f"{kind}{seed}")
+    noun = lambda: f"{r.choice(NOUNS)} {r.choice(NOUNS)}"
+    url = lambda: f"{r.choice(['http://', 'www.'])}{r.choice('abcd')}.example/{r.choice(NOUNS)}/{r.randint(1, 99)}"
+    said = lambda: f"The crew {r.choice(VERBS)} {r.randint(2, 90)} {r.choice(NOUNS)} near the {r.choice(WHERE)} before the {r.choice(['tide', 'rain', 'shift'])}."
+    out = []
+    for _ in range(n):
+        k = r.randint(6, 30)
+        own = [noun() for _ in range(r.randint(1, 6))]
+        bar = r.choice([" | ", " / ", " · "])
+        lead = said() + "\n" if kind in STUFFED and r.random() < 0.3 else ""
+        out.append(lead + {
+            "links": lambda: "\n".join(f"[{noun()}]({url()})" if r.random() < 0.5 else url() for _ in range(k)),
+            "tags": lambda: " ".join("#" + noun().replace(" ", "") for _ in range(k)),
+            "bars": lambda: bar.join(r.choice(own) for _ in range(k)),
+            "lines": lambda: "\n".join(r.choice(own) for _ in range(k)),
+            "calls": lambda: " ".join(r.choice([f"Call for {own[0]}, book {own[0]}, get {own[0]} now.", f"Why {own[0]}? Because {own[0]} means {own[0]}."]) for _ in range(k)),
+            "prose": lambda: " ".join(said() for _ in range(k)),
+            "log": lambda: "Hourly log\n" + "\n".join(f"{h:02d}:00 gauge {r.randint(50, 300)} cm, no change" for h in range(min(k, 24))),
+            "stock": lambda: f"Stock at the {r.choice(WHERE)}, 16:23\n" + "\n".join(f"{r.choice(NOUNS)}: {r.randint(1, 400)} boxes, {r.randint(1, 80)} issued" for _ in range(k)),
+            "linked": lambda: " ".join(said() for _ in range(k)) + f" See {url()}",
+            "brief": lambda: r.choice([said(), "Home | Camps | Contact\n" + said(), "n/a"]),
+        }[kind]())
+    return out
 
 
-@pytest.mark.parametrize("t", REAL)
-def test_not_stuffed(t):
-    assert spam.analyse(t)[0] <= 0.5
+@pytest.fixture(scope="module")
+def trees():
+    import numpy as np
+
+    own = list(spam.lessons([t for k in STUFFED for t in pages(k, 25, 1)] + [t for k in ORDINARY for t in pages(k, 60, 1)]))
+    return spam.trained(np.concatenate([x for x, _ in own]).astype(float), np.concatenate([y for _, y in own]))
+
+
+@pytest.mark.parametrize("kind", STUFFED + ORDINARY)
+def test_held_out_pages(trees, kind):
+    s = spam.page_scores(pages(kind, 40, 2), trees) > 0.5
+    assert (s if kind in STUFFED else ~s).mean() >= 0.9
+
+
+def test_the_stuffed_part_is_measured(trees):
+    prose, tags = pages("prose", 1, 3)[0], pages("tags", 1, 3)[0]
+    few, many = spam.page_scores([prose * 3 + "\n" + tags, prose[:60] + ".\n" + tags * 3], trees)
+    assert few < 0.5 < many
+
+
+def test_page_edges(trees):
+    assert spam.page_scores([None, "", "\n", "!", " \u200b"], trees).tolist() == [0.0] * 5
+    long_ = " ".join(pages("prose", 300, 4))
+    assert spam.page_scores([long_, "\n".join(pages("links", 300, 4))], trees).round(1).tolist() == [0.0, 1.0]
+    assert spam.page_scores(["<a " * 50_000, "[" * 100_000, "www." * 50_000], trees).shape == (3,)
+
+
+def test_without_labels_nothing_is_spam():
+    import numpy as np
+
+    none = spam.trained(np.zeros((0, len(spam.FEATURES))), np.zeros(0))
+    assert spam.page_scores(pages("tags", 3, 1), none).tolist() == [0.0] * 3
 
 
 def test_spam_pages(spark):
-    rows = [(i, SPAM[i % len(SPAM)], f"http://bad.example/{i}") for i in range(64)] + [(100 + i, REAL[i % 5], f"www.good.example/{i}") for i in range(60)] + [(900, None, None)]
-    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, page_url string, share double")
-    got = {r.doc_id: r.spam for r in spam.scored(df).collect()}
-    assert {k for k, v in got.items() if v} == set(range(64))
-    assert len(got) == 125
+    bad = [t for k in STUFFED for t in pages(k, 14, 5)]
+    good = [t for k in ORDINARY for t in pages(k, 40, 5)]
+    rows = [(i, t, f"http://bad.example/{i}") for i, t in enumerate(bad)] + [(1000 + i, t, f"www.good.example/{i}") for i, t in enumerate(good)] + [(9000, None, None), (9001, bad[0], None)]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, page_url string, score double")
+    out = spam.scored(df)
+    got = {r.doc_id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    found = {k for k, r in got.items() if r.spam}
+    want = set(range(len(bad))) | {9001}
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found)
+    assert got[0].page_score == got[9001].page_score and got[9001].host_rate is None and got[9000].page_score == 0
+    # The host decides where the page does not.
+    assert got[0].host_rate > 0.5 > got[1000].host_rate
     assert spam.scored(df.limit(0)).count() == 0
+
+
+def test_the_host_decides_a_page_in_doubt(spark):
+    """Two pages of one score, one on a host of spam, one on a clean one."""
+    doubt = {"doubt": 0.49, "good": 0.0, "bad": 1.0}
+    df = spark.createDataFrame([(i, "bad", "x.example") for i in range(40)] + [(100 + i, "good", "y.example") for i in range(40)] + [(200, "doubt", "x.example"), (201, "doubt", "y.example")], "doc_id long, text string, page_url string")
+    pages_ = df.select("doc_id", spam.F.col("text").alias("t"), "page_url")
+    scores = spark.createDataFrame(list(doubt.items()), "t string, page_score double")
+    p = pages_.join(scores, "t").select(spam.F.col("doc_id").alias("id"), spam.host(spam.F.col("page_url")).alias("host"), "page_score")
+    got = {r.id: r.spam for r in spam.smoothed(p).collect()}
+    assert got[200] and not got[201]

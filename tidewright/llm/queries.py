@@ -166,8 +166,8 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, root: str) -> DataFrame:
-    """Every document with its stuffed share, page score, host rate and smoothed score."""
-    return spam.scored(table(spark, root, "documents")).select("doc_id", "host", "share", "page_score", "host_rate", "score", "spam")
+    """Every document with its page score, host rate and smoothed score."""
+    return spam.scored(table(spark, root, "documents")).select("doc_id", "host", "page_score", "host_rate", "score", "spam")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
