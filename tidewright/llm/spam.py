@@ -3,9 +3,10 @@
 Each page is cut into units: lines, and sentences of lines, of at most UNIT
 tokens.  Every unit has content features (repetition within itself, how often
 the page repeats its pairs of words and its opening, numbers, separators) and
-link features (links, anchors, tags).  Bagged decision trees are trained on
-units of a bounded sample of pages that weak rules label as a whole by counts
-of the page; most pages fit no rule or rules that disagree, and teach nothing.
+link features (links, anchors, tags); a long page is looked at in blocks.
+Bagged decision trees are trained on units of a bounded sample of pages whose
+blocks weak rules label as a whole by their counts; blocks that fit no rule, or
+rules that disagree, teach nothing.
 The trees judge every unit of every page, and the prediction for a page is the
 part of its visible characters that lies in units judged to be stuffed.  It is
 smoothed with the rate of such characters on the page's host, which is counted
@@ -20,7 +21,9 @@ spam.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from tidewright.session import bounded_sample, cut, small
 #: Pages that the trees are fitted on at most (the first by a hash of their id), and units of ordinary and of spam pages among them.
 SAMPLE, FIT_UNITS = 30_000, (32_000, 8_000)
 TREES, DEPTH, LEAF, BAG = 21, 10, 3, 15_000
-#: Tokens of a unit at most.
-UNIT = 48
+#: Tokens of a unit at most, and the fewest of a block where a page has several.
+UNIT, BLOCK = 48, 512
 #: Pseudo-pages that the overall rate counts as in the rate of a host, and the weight of that rate in the score.
 PRIOR, HOST = 20.0, 0.1
 #: Characters that a task looks at in one go; a longer text is looked at by itself.
@@ -68,7 +71,8 @@ def kind_of(t: str) -> int:
 
 
 class Units:
-    """Tokens of some texts in arrays, cut into units, with their features."""
+    """Tokens of some texts in arrays, cut into units, with their features.
+    `page` is the block of a token: a page, or an even part of a long one."""
 
     def __init__(self, texts: list[str]) -> None:
         flat: list[str] = []
@@ -77,19 +81,24 @@ class Units:
             toks = TOKEN.findall(t) if t else []
             many[i] = len(toks)
             flat += toks
-        at: dict[str, int] = {}
-        token = np.array([at.setdefault(t, len(at)) for t in flat], np.int64)
+        at: dict[str, int] = defaultdict(count().__next__)
+        token = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
         kind = np.array([kind_of(t) for t in at], np.int8)
-        self.n_pages, self.kind = len(texts), kind[token] if len(at) else np.zeros(0, np.int8)
+        self.kind = kind[token] if len(at) else np.zeros(0, np.int8)
         size = np.array([len(t) for t in at], np.int64)
         size[kind > TAG] = 0
         self.size = size[token] if len(at) else token
         hashes = np.array([xxhash.xxh3_64_intdigest(t.lower().encode("utf-8", "surrogatepass")) >> 1 for t in at], np.int64)
         self.hash = hashes[token] if len(at) else token
-        self.page = np.repeat(np.arange(len(texts)), many)
+        text = np.repeat(np.arange(len(texts)), many)
         n = len(token)
+        # Long pages are looked at in blocks of even size, so that repetition means the same in all of them.
+        blocks = np.maximum(1, many // BLOCK)
+        within = np.arange(n) - np.repeat(np.cumsum(many) - many, many)
+        self.page = np.repeat(np.cumsum(blocks) - blocks, many) + within * np.repeat(blocks, many) // np.maximum(1, np.repeat(many, many))
+        self.n_pages = int(blocks.sum())
         if not n:
-            self.unit, self.n_units, self.page_of = token, 0, token
+            self.unit, self.n_units, self.page_of, self.text_of = token, 0, token, token
             return
         fresh = np.ones(n, bool)
         fresh[1:] = (self.page[1:] != self.page[:-1]) | np.isin(self.kind[:-1], (LINE, END))
@@ -97,7 +106,7 @@ class Units:
         fresh |= (np.arange(n) - start) % UNIT == 0
         self.unit = np.cumsum(fresh) - 1
         self.n_units = int(self.unit[-1]) + 1
-        self.page_of = self.page[fresh]
+        self.page_of, self.text_of = self.page[fresh], text[fresh]
 
     def per(self, by: np.ndarray, n: int, what: np.ndarray) -> np.ndarray:
         return np.bincount(by, weights=what, minlength=n)
@@ -151,7 +160,7 @@ class Units:
         return np.stack(cols, 1), visible
 
     def votes(self) -> np.ndarray:
-        """Weak label of each page by counts of the page as a whole: 1 spam, 0 not, -1 unknown.
+        """Weak label of each block by its counts as a whole: 1 spam, 0 not, -1 unknown.
 
         For spam: many tokens are links or tags; or words recur and there are no
         numbers; or separators stand after every few words, with few numbers.
@@ -259,8 +268,8 @@ def page_scores(texts: list[str | None], model: Trees) -> np.ndarray:
     for run in parts(texts):
         u = Units(run)
         x, visible = u.features()
-        stuffed = np.bincount(u.page_of, weights=visible * (model.predict(x) > 0.5), minlength=len(run)) if len(x) else np.zeros(len(run))
-        total = np.bincount(u.page_of, weights=visible, minlength=len(run)) if len(x) else np.ones(len(run))
+        stuffed = np.bincount(u.text_of, weights=visible * (model.predict(x) > 0.5), minlength=len(run)) if len(x) else np.zeros(len(run))
+        total = np.bincount(u.text_of, weights=visible, minlength=len(run)) if len(x) else np.ones(len(run))
         out.append(stuffed / np.maximum(total, 1.0))
     return np.concatenate(out) if out else np.zeros(0)
 
