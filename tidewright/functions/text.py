@@ -81,6 +81,11 @@ def detokenized(tok: Column) -> Column:
     return F.regexp_replace(s, r"\( ", "(")
 
 
+def clean_id(c: Column) -> Column:
+    """An id without case and surrounding blanks."""
+    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+
+
 def place_norm(c: Column) -> Column:
     """Lower-cased, with one blank for each run of other than a-z and 0-9."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9 ]+", " "))

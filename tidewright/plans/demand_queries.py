@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions import triage, trust
+from tidewright.functions.text import clean_id
 from tidewright.plans import text_queries as tq
 from tidewright.session import cut
 from tidewright.sources.tables import table
@@ -16,16 +17,21 @@ def _demands(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "demands").dropDuplicates(["demand_id"])
 
 
+def report_links(spark: SparkSession, root: str) -> DataFrame:
+    """(demand_id, mid): the sources that demands list, each once, as clean ids."""
+    links = table(spark, root, "demands").select("demand_id", F.explode("source_message_ids").alias("mid"))
+    return links.select("demand_id", clean_id(F.col("mid")).alias("mid")).filter("mid <> ''").distinct()
+
+
 def _reports(spark: SparkSession, root: str) -> DataFrame:
     """(demand_id, message_id, channel, sender_hash, at, need_type, need_raw, people, people_raw, flags, level, urgency_raw) of all demands' messages."""
-    links = table(spark, root, "demands").select("demand_id", F.explode("source_message_ids").alias("message_id")).distinct()
     m = table(spark, root, "messages").filter("raw_text is not null and received_at is not null").dropDuplicates(["message_id"])
     m = m.select("message_id", "channel", "sender_hash", F.expr("unix_micros(cast(received_at as timestamp))").alias("at"), triage.extraction(F.col("raw_text")).alias("e"))
     m = m.select(
         "message_id", "channel", "sender_hash", "at", "e.need.need_type", F.col("e.need.raw").alias("need_raw"), "e.head.people", F.col("e.head.raw").alias("people_raw"),
         "e.vuln.flags", F.col("e.vuln.raw").alias("flags_raw"), "e.urgency.level", F.col("e.urgency.raw").alias("urgency_raw"),
     )
-    return links.join(m, "message_id")
+    return report_links(spark, root).join(m.withColumn("mid", clean_id(F.col("message_id"))), "mid").drop("mid")
 
 
 def k1_trust_score(spark: SparkSession, root: str) -> DataFrame:
@@ -140,10 +146,9 @@ def c1_isotonic(spark: SparkSession, root: str) -> DataFrame:
 
 def gl_consensus(spark: SparkSession, root: str) -> DataFrame:
     """Consensus location of each demand's messages: the mean at the finest resolution."""
-    links = table(spark, root, "demands").select("demand_id", F.explode("source_message_ids").alias("message_id")).distinct()
-    loc = table(spark, root, "message_locations").filter("lat is not null and lon is not null").select("message_id", "lat", "lon", "resolution", "geo_confidence").distinct()
+    loc = table(spark, root, "message_locations").filter("lat is not null and lon is not null").select(clean_id(F.col("message_id")).alias("mid"), "lat", "lon", "resolution", "geo_confidence").distinct()
     rank = F.when(F.col("resolution") == "point", 0).when(F.col("resolution") == "building", 1).when(F.col("resolution") == "street", 2).when(F.col("resolution") == "ward", 3).otherwise(4)
-    j = links.join(loc, "message_id").withColumn("o", rank)
+    j = report_links(spark, root).join(loc, "mid").withColumn("o", rank)
     g = j.groupBy("demand_id", "o").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max("geo_confidence").alias("best"), F.count(F.lit(1)).alias("k"))
     b = g.groupBy("demand_id").agg(F.min(F.struct("o", "lat", "lon", "best", "k")).alias("b"))
     conf = F.least(F.lit(0.97), F.col("b.best") + F.least(F.lit(0.12), 0.04 * (F.col("b.k") - 1)))
@@ -185,10 +190,11 @@ def _located_items(spark: SparkSession, root: str, m: DataFrame) -> DataFrame:
     return _read(m).join(loc, "message_id")
 
 
+CLEAN = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
+LINKS_SQL = f"(select * from (select distinct demand_id, {CLEAN.format('m')} mid from (select demand_id, unnest(source_message_ids) m from demands)) where mid <> '')"
 _T = tq.SQL["t1_extract"].replace(tq._M, "(select message_id, any_value(raw_text) raw_text from messages where raw_text is not null and received_at is not null group by message_id)")
 _R = f"""x as ({_T}), m as (select message_id, any_value(channel) channel, any_value(sender_hash) sender_hash, any_value(epoch_us(received_at)) at_us from messages where raw_text is not null and received_at is not null group by message_id),
-l as (select distinct demand_id, unnest(source_message_ids) message_id from demands), r as (select l.demand_id, m.*, x.* exclude (message_id) from l join m using (message_id) join x using (message_id))"""
-_D = "(select demand_id, any_value(columns(* exclude (demand_id))) from demands group by demand_id)"
+l as {LINKS_SQL}, r as (select l.demand_id, m.*, x.* exclude (message_id) from l join m on l.mid = {CLEAN.format('m.message_id')} join x using (message_id))"""
 _D = "(select * from (select *, row_number() over (partition by demand_id) rn_ from demands) where rn_ = 1)"
 
 
@@ -261,9 +267,9 @@ p as (select x, row_number() over (order by x) i, sum(n) over (order by x) cn, s
 a as (select l.i i, h.i j, (h.cs - l.cs + l.s) / (h.cn - l.cn + l.n) v from p l join p h on h.i >= l.i),
 m as (select k.i, max(w) f from p k join (select a.i i, q.i kk, min(a.v) w from a join p q on q.i >= a.i and q.i <= a.j group by 1, 2) z on z.kk = k.i group by 1)
 select p.x as x, round(least(0.98, greatest(0.02, m.f)), 6) as fitted from p join m on p.i = m.i""",
-    "gl_consensus": """with l as (select distinct demand_id, unnest(source_message_ids) message_id from demands),
+    "gl_consensus": f"""with l as {LINKS_SQL},
 c as (select distinct message_id, lat, lon, resolution, geo_confidence from message_locations where lat is not null and lon is not null),
-g as (select demand_id, case resolution when 'point' then 0 when 'building' then 1 when 'street' then 2 when 'ward' then 3 else 4 end o, avg(lat) lat, avg(lon) lon, max(geo_confidence) best, count(*) k from l join c using (message_id) group by 1, 2),
+g as (select demand_id, case resolution when 'point' then 0 when 'building' then 1 when 'street' then 2 when 'ward' then 3 else 4 end o, avg(lat) lat, avg(lon) lon, max(geo_confidence) best, count(*) k from l join c on l.mid = {CLEAN.format('c.message_id')} group by 1, 2),
 b as (select *, row_number() over (partition by demand_id order by o) rk from g)
 select demand_id, o as level, round(lat, 8) as lat, round(lon, 8) as lon, round(least(0.97, best + least(0.12, 0.04 * (k - 1))), 6) as confidence from b where rk = 1""",
     "z1_zone_totals": f"""with d as (select coalesce(location.h3_cell, 'unzoned') zone_, coalesce(sum(need.people), 0)::bigint people from {_D} group by 1),

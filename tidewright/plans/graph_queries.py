@@ -19,9 +19,8 @@ VERIFIERS, VERIFY_S = ("operator", "volunteer"), 180.0
 
 
 def g2_components(spark: SparkSession, root: str) -> DataFrame:
-    """Size of each group of demands that share messages, as they are written."""
-    links = table(spark, root, "demands").select("demand_id", F.explode("source_message_ids").alias("mid")).filter("mid <> ''")
-    c = by_shared_keys(links, "demand_id", "mid")
+    """Size of each group of demands that list a common source, by clean ids."""
+    c = by_shared_keys(demand_queries.report_links(spark, root), "demand_id", "mid")
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
 
 
@@ -134,7 +133,7 @@ _LEN = "2*6371000*asin(least(1.0, sqrt(power(sin(radians(b.centre_lat-a.centre_l
 _HAV = "2*6371000*asin(least(1.0, sqrt(power(sin(radians(q.lat-p.lat)/2),2)+cos(radians(p.lat))*cos(radians(q.lat))*power(sin(radians(q.lon-p.lon)/2),2))))"
 
 SQL = {
-    "g2_components": """with recursive k as (select distinct demand_id, unnest(source_message_ids) mid from demands), l as (select * from k where mid <> ''),
+    "g2_components": f"""with recursive l as {demand_queries.LINKS_SQL},
 e as (select distinct a.demand_id x, b.demand_id y from (select mid, min(demand_id) demand_id from l group by mid having count(distinct demand_id) > 1) a join l b using (mid)),
 f as (select x, y from e union select y, x from e), r as (select x, y from f union select r.x, f.y from r join f on r.y = f.x)
 select component, count(*) as members from (select x, min(y) component from (select * from r) group by x) group by component""",

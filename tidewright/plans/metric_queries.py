@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.sources.tables import table
 
 TABLES = ("messages", "message_locations", "demands", "served", "results", "gazetteer", "zones", "documents", "events", "customer", "orders", "nation", "region")
-_S = "(select distinct * from served)"
-_D = "(select distinct demand_id, need, trust_score, quantity_confidence, status, location, first_reported_at, last_corroborated_at, escalation_weight from demands)"
+# Each row once, with the columns that a text mentions (see `_pruned`).
+_S, _D = "@SERVED@", "@DEMANDS@"
+SERVED = "run_id demand_id truth_id asset_id asset_type kind zone dispatched_at_min arrived_at_min people_committed people_actually_present is_hoax is_stale is_duplicate_visit".split()
+DEMANDS = "need trust_score quantity_confidence status location first_reported_at last_corroborated_at escalation_weight".split()
 _RES = "(select distinct run_id, lower(trim(policy)) as policy, people_in_need, people_reached, coverage, zone_gini, median_time_to_reach_min, sensing_seconds, messages, replans from results)"
 _OK = "arrived_at_min is not null and not isnan(arrived_at_min) and arrived_at_min >= dispatched_at_min and arrived_at_min <> 99999e0"
 
+_CLEAN = "lower(@STRIP@{0}))"
+_L = f"(select * from (select distinct demand_id, {_CLEAN.format('explode_ids')} as mid from (select demand_id, @EXPLODE@ from demands) y) y2 where mid <> '')"
+
 SQL = {
     # coverage of people by genuine first rescues, for each run
     "m2_coverage": f"""select s.run_id, cast(sum(case when kind = 'rescue' and not is_hoax and not is_duplicate_visit then least(people_committed, people_actually_present) else 0 end) as bigint) as reached,
@@ -65,7 +70,7 @@ select resolution, max(n) as n, round(median(m), 3) as median_m, max(case when i
     # visits after the first to one happening, in order of completion
     "w5_duplicate_visits": f"""select run_id, count(*) as visits, count(case when i > 1 then 1 end) as repeats from (select run_id, row_number() over (partition by run_id, truth_id order by arrived_at_min, served_id) as i from {_S} s where truth_id is not null and kind = 'rescue' and {_OK}) k group by run_id""",
     # reports of a demand that are visible at each arrival
-    "w6_visible_prefix": """with l as (select distinct d.demand_id, m.message_id, m.received_at from (select demand_id, explode_ids as message_id from (select demand_id, @EXPLODE@ from demands) y) d join (select distinct message_id, received_at from messages) m on d.message_id = m.message_id)
+    "w6_visible_prefix": f"""with l as (select distinct d.demand_id, m.message_id, m.received_at from {_L} d join (select distinct message_id, received_at from messages) m on d.mid = {_CLEAN.format("m.message_id")})
 select demand_id, message_id, count(*) over (partition by demand_id order by received_at, message_id rows between unbounded preceding and current row) as visible from l""",
     # ten bins of trust, empty bins kept
     "w7_histogram": f"""with b as (select least(9, cast(floor(trust_score * 10) as int)) as bin from {_D} d where trust_score is not null and not isnan(trust_score)), all_bins as (select 0 as bin union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6 union all select 7 union all select 8 union all select 9)
@@ -79,14 +84,14 @@ select a.bin, count(b.bin) as n from all_bins a left join b on a.bin = b.bin gro
     # nearest k by zone
     "j6_top_k": f"select * from (select zone, served_id, row_number() over (partition by zone order by arrived_at_min, served_id) as k from {_S} s where zone is not null and {_OK}) x where k <= 10",
     "j7_served_results": f"select r.policy, s.asset_type, count(*) as n, cast(sum(people_committed) as bigint) as people from {_S} s left join {_RES} r on s.run_id = r.run_id group by r.policy, s.asset_type",
-    "j8_provenance": """select d.demand_id, count(m.message_id) as found, count(*) as listed, min(m.received_at) as first_received from (select distinct demand_id, explode_ids as message_id from (select demand_id, @EXPLODE@ from demands) y) d
- left join (select distinct message_id, received_at from messages) m on d.message_id = m.message_id group by d.demand_id""",
+    "j8_provenance": f"""select d.demand_id, count(m.message_id) as found, count(*) as listed, min(m.received_at) as first_received from {_L} d
+ left join (select distinct message_id, received_at from messages) m on d.mid = {_CLEAN.format("m.message_id")} group by d.demand_id""",
     "j11_unserved": f"select status, count(*) as n from {_D} d where not exists (select 1 from served s where s.demand_id = d.demand_id) group by status",
     "j11_served": f"select status, count(*) as n from {_D} d where exists (select 1 from served s where s.demand_id = d.demand_id and s.kind = 'rescue') group by status",
     # reports visible at each tick of a clock (as-of counts, X1 and J12)
-    "x1_visible_at_ticks": """with m as (select distinct message_id, received_at from messages where received_at is not null), t as (select min(received_at) as t0 from m), k as (select @TICKS@ as tick),
-b as (select cast(ceil(@MINUTES@ / 15e0) as int) as tick, count(*) as n from m cross join t group by 1)
-select k.tick, cast(coalesce(sum(b.n), 0) as bigint) as visible from k left join b on b.tick <= k.tick group by k.tick""",
+    "x1_visible_at_ticks": """with m as (select distinct message_id, received_at from messages where received_at is not null), t as (select min(received_at) as t0 from m), z as (select @TICK@ as last from (select max(received_at) as received_at, min(received_at) as t0 from m) y), k as (select @TICKS@ as tick from z),
+b as (select @TICK@ as tick, count(*) as n from m cross join t group by 1)
+select k.tick, cast(coalesce(sum(b.n) over (order by k.tick), 0) as bigint) as visible from k left join b on b.tick = k.tick""",
     "qa_demand_page": f"""select demand_id, status, need.type as need_type, trust_score from {_D} d where status in ('unassigned', 'verifying') and need.type = 'medical' and quantity_confidence between 0.2e0 and 0.9e0 and trust_score >= 0.3e0
  order by trust_score desc, demand_id limit 300""",
     "qe_facets": f"""select status, location.resolution as resolution, count(*) as n, count(case when quantity_confidence < 0.55e0 then 1 end) as unsure, count(case when trust_score < 0.4e0 then 1 end) as doubted from {_D} d group by status, location.resolution""",
@@ -101,8 +106,16 @@ select k.tick, cast(coalesce(sum(b.n), 0) as bigint) as visible from k left join
     "b7_tumbling": "select event_type, @HOUR@ as hour, count(*) as n, round(sum(value), 4) as total from events group by event_type, @HOUR@",
 }
 
-SPARK = {"@EXPLODE@": "explode(source_message_ids) as explode_ids", "@STRING@": "string", "@TICKS@": "explode(sequence(0, 40))", "@MINUTES@": "((unix_micros(cast(received_at as timestamp)) - unix_micros(cast(t0 as timestamp))) / 60e6)", "@HOUR@": "cast(date_trunc('hour', ts) as timestamp_ntz)"}
-OTHER = {"@EXPLODE@": "unnest(source_message_ids) as explode_ids", "@STRING@": "varchar", "@TICKS@": "unnest(range(0, 41))", "@MINUTES@": "((epoch_us(received_at) - epoch_us(t0)) / 60e6)", "@HOUR@": "date_trunc('hour', ts)"}
+SPARK = {"@EXPLODE@": "explode(source_message_ids) as explode_ids", "@STRING@": "string", "@STRIP@": "trim(both ' \t\r\n' from ", "@TICKS@": "explode(sequence(0, last))", "@TICK@": "cast(ceil((unix_micros(cast(received_at as timestamp)) - unix_micros(cast(t0 as timestamp))) / 900e6) as int)", "@HOUR@": "cast(date_trunc('hour', ts) as timestamp_ntz)"}
+OTHER = {"@EXPLODE@": "unnest(source_message_ids) as explode_ids", "@STRING@": "varchar", "@STRIP@": "trim(", "@TICKS@": "unnest(range(0, last + 1))", "@TICK@": "cast(ceil((epoch_us(received_at) - epoch_us(t0)) / 900e6) as int)", "@HOUR@": "date_trunc('hour', ts)"}
+
+
+def _pruned(sql: str) -> str:
+    """Distinct rows of served and demands with no more columns than the text needs."""
+    for mark, key, cols, source in (("@SERVED@", "served_id", SERVED, "served"), ("@DEMANDS@", "demand_id", DEMANDS, "demands")):
+        used = [key, *(c for c in cols if re.search(rf"\b{c}\b", sql))]
+        sql = sql.replace(mark, f"(select distinct {', '.join(used)} from {source})")
+    return sql
 
 
 def _bind(sql: str, words: dict[str, str]) -> str:
@@ -123,6 +136,6 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-SQL_TEXT = dict(SQL)
+SQL_TEXT = {n: _pruned(s) for n, s in SQL.items()}
 QUERIES = {n: _query(n) for n in SQL_TEXT}
 SQL = {n: _bind(s, OTHER) for n, s in SQL_TEXT.items()}
