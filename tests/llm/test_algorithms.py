@@ -86,24 +86,53 @@ def test_near_pairs_edges(spark):
         neardup.near_pairs(df, min_words=5)
 
 
-def offer(bundle, sig, k1, ident, k2=0.0, h=0):
-    return {"bundle": bundle, "sig": sig, "k1": k1, "k2": k2, "h": h, "id": ident}
+def offer(bundle, sig, k1, ident, k2=0.0, h=0, k3=0.0):
+    return {"bundle": bundle, "sig": sig, "k1": k1, "k2": k2, "k3": k3, "h": h, "id": ident}
 
 
-@pytest.mark.parametrize("seed", range(20))
+def offers_of(members):
+    """What the aggregates leave of members (f, l, t, kind, urgency, decay, status, values of bundles)."""
+    best: dict[tuple, dict] = {}
+
+    def put(o, key=None):
+        k = (o["bundle"], o["sig"])
+        if k not in best or (o["k1"], o["k2"], o["k3"], o["h"]) > tuple(best[k][x] for x in ("k1", "k2", "k3", "h")):
+            best[k] = o
+
+    for i, m in enumerate(members):
+        crit = {"f": m["f"], "l": m["l"], "t": m["t"]}
+        for w, order in survivors.ORDERS.items():
+            a, b, c = (crit[x] for x in order)
+            put(offer(w, "", a, f"m{i}", b, i + 1, c))
+        put(offer("twin", "", m["f"], f"m{i}", m["l"], -(i + 1), m["t"]))
+        put(offer("witness", f"{m['kind']}|{m['urgency']}|{m['decay']}", 0.0, "w"))
+        sig = {"place": m["kind"], "need": f"{m['kind']}|{m['urgency']}", "state": f"{m['decay']}|{m['status']}", "times": m["status"], "texts": m["kind"]}
+        for b in survivors.BUNDLES:
+            put(offer(b, sig[b], m["v"][b], f"m{i}", h=i + 1))
+    return list(best.values())
+
+
+@pytest.mark.parametrize("seed", range(40))
 def test_search_is_exact(seed):
     r = random.Random(seed)
-    needs, decays = ["a|x", "b|x", "c|y"], ["s", "e", ""]
-    seen = {(n, d) for n in needs for d in decays if r.random() < 0.4} | {("a|x", "s")}
-    offers = [offer("witness", f"{n}|{d}", 0, "w") for n, d in seen]
-    offers += [offer("need", n, r.random(), f"n{n}") for n in needs] + [offer("state", d, r.random(), f"d{d}") for d in decays]
-    offers += [offer(b, "", r.random(), b) for b in ("place", "times", "texts")]
-    offers += [offer("last", "5", 1.0, "L", 2.0, 7), offer("last2", "5", 1.0, "L", 2.0, -7), offer("trust", "5", 2.0, "L", 1.0, 7)]
-    got = survivors.search(offers)
-    val = {(o["bundle"], o["sig"]): o["k1"] for o in offers}
-    best = max(val["need", n] + val["state", d] for n, d in seen) + sum(val[b, ""] for b in ("place", "times", "texts"))
-    assert got["trust_total"] == pytest.approx(best)
-    assert got["dominant"]
+    members = [
+        {"f": r.randint(5, 7), "l": r.randint(0, 2), "t": r.randint(0, 2) / 2, "kind": r.choice("ab"), "urgency": r.choice("xy"), "decay": r.choice("se"), "status": r.choice("pq"),
+         "v": {b: r.random() for b in survivors.BUNDLES}}
+        for _ in range(r.randint(2, 6))
+    ]
+    got = survivors.search(offers_of(members))
+    key = lambda m: (m["f"], m["l"], m["t"])
+    leads = [i for i, m in enumerate(members) if all(key(m)[k] >= max(key(x)[k] for x in members) for k in range(3)) and sum(key(x) == key(m) for x in members) == 1]
+    assert got["dominant"] == bool(leads)
+    if leads:
+        assert got["lead_id"] == f"m{leads[0]}"
+    seen = {(m["kind"], m["urgency"], m["decay"]) for m in members}
+    top = 0.0
+    for need, state, place, texts, times in itertools.product(members, repeat=5):
+        if place["kind"] == need["kind"] == texts["kind"] and times["status"] == state["status"] and (need["kind"], need["urgency"], state["decay"]) in seen:
+            top = max(top, need["v"]["need"] + state["v"]["state"] + place["v"]["place"] + texts["v"]["texts"] + times["v"]["times"])
+    who = members[leads[0]]["t"] if leads else max(m["t"] for m in members)
+    assert got["trust_total"] == pytest.approx(top + who + 0.01)
 
 
 DEMAND = (
@@ -133,8 +162,9 @@ def test_survivors(spark):
     rows.append(rows[1])
     df = spark.createDataFrame([tuple(r[c.strip().split(" ")[0]] for c in NAMES) for r in rows], DEMAND)
     m = spark.createDataFrame([("M1",), ("M2",), ("m3",), ("M4",), (None,)], "message_id string")
-    got = {r.group_id: r for r in survivors.choose(df, m).collect()}
+    got = {r.group_id: r for r in survivors.choose(survivors.grouped(df, m)).collect()}
     assert set(got) == {"d1", "d4"}
+    assert {(r.group_id, r.demand_id) for r in survivors.found(df, m).collect()} == {("d1", "d2")}
     assert got["d1"].dominant and got["d1"].lead_id == "d2"
     assert not got["d4"].dominant
     s = {r.group_id: r for r in survivors.survivors(df, m).collect()}
@@ -142,6 +172,9 @@ def test_survivors(spark):
     assert s["d1"].duplicate_collapse_count == 3 and s["d1"].n_members == 3
     assert s["d1"].channels == ["field_report", "sms"]
     assert s["d1"].location.h3_cell == "c1"
+    # Records without a group survive as they are.
+    assert set(s) == {"d1", "d4", "d7", "d8", "d9"}
+    assert s["d7"].n_members == 1 and s["d7"].duplicate_collapse_count == 1 and s["d7"].source_message_ids == [] and s["d9"].channels == []
     assert survivors.survivors(df.limit(0), m).count() == 0
 
 

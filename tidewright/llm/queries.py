@@ -132,12 +132,11 @@ def p6_segments(spark: SparkSession, root: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Groups of demands with a member that is best in all respects, and that member."""
-    c = survivors.choose(table(spark, root, "demands"), table(spark, root, "messages"))
-    return c.filter("dominant").select("group_id", F.col("lead_id").alias("demand_id"))
+    return survivors.found(table(spark, root, "demands"), table(spark, root, "messages"))
 
 
 def p7_survivors(spark: SparkSession, root: str) -> DataFrame:
-    """The surviving record of each group of demands, field bundle by field bundle."""
+    """The surviving record of each group of demands and of each demand without one, field bundle by field bundle."""
     s = survivors.survivors(table(spark, root, "demands"), table(spark, root, "messages"))
     return s.select("group_id", "demand_id", "n_members", "trust_score", "duplicate_collapse_count", "channels", "source_message_ids", "location", "need", "status", "time_decay_class", "first_reported_at", "last_corroborated_at", "raw_texts")
 
