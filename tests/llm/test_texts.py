@@ -88,6 +88,35 @@ CASES = [
     ("need dry rations, form no 000061015", set()),
 ]
 
+# Texts that no table holds.
+CASES += [
+    ("my name is Xu Li", {"person_name"}),
+    ("this is Ravi Kumar, call me back, I am speaking from the roof", set()),
+    ("this is Ravi Kumar speaking, we are safe", {"person_name"}),
+    ("send it to mailto:lost.found@desk.example today", {"email"}),
+    ("tel:+44 2079460958 rings in the evening", {"phone"}),
+    ("the number on the card reads 234123412346 in blue", {"id_number"}),  # its check digit is right
+    ("the parcel code reads 234123412345 in blue", set()),
+    ("aadhaar, as far as I remember from the photo that my cousin sent me last winter 2341 2341 2346", {"id_number"}),
+    ("my voter card got wet. The crate is marked ABC1234567", set()),
+    ("a" * 90 + "@post.example is too long for no window", {"email"}),
+    ("nine one one", set()),
+    ("stock 12 of 400, 18-20 crates, 3.5 m", set()),
+]
+
+
+def test_check_digits():
+    assert personal.verhoeff("2363") and not personal.verhoeff("2364")
+    for d in "0123456789":
+        whole = [x for x in "0123456789" if personal.verhoeff("7154" + d + x)]
+        assert len(whole) == 1  # one check digit for each number
+
+
+def test_very_long_texts():
+    t = "call 5997680846 or " + "people are waiting here " * 20_000 + "my name is Xu Li"
+    assert {k for _, _, k in personal.details(t)} == {"phone", "person_name"}
+    assert personal.details("7" * 100_000) == [] and personal.details("@" * 20_000) == []
+
 
 @pytest.mark.parametrize(("t", "want"), CASES)
 def test_details(t, want):

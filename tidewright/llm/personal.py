@@ -1,10 +1,13 @@
 """Problem 2: personal details in free text, by anchor expansion.
 
-An Aho-Corasick automaton finds anchors (at-signs, identifier cues, phone and
-name cues in English, Hindi and Malayalam, street words) in the consistent form
-of each text; a deterministic parser at each anchor expands and validates the
-boundaries of one detail.  Spans are mapped back, so that the text comes out as
-it came in but for the placeholders.
+An Aho-Corasick automaton finds anchors (at-signs, schemes, digits and number
+words, identifier cues, name cues in English, Hindi and Malayalam, titles, house
+and street words) in the consistent form of each text; a deterministic parser
+at each anchor expands and validates the boundaries of one detail.  Parsers look
+as far as a token, a few tokens, a clause or a run of digits goes, never a number
+of characters, and nothing scans the text for details without an anchor.  Spans
+are mapped back, so that the text comes out as it came in but for the
+placeholders.
 
 Defined cases: a null text gives null and no details; overlapping details are
 resolved in favour of the earlier start, then the longer one; case, form and
@@ -39,10 +42,15 @@ NAME_BEFORE = [
 ]
 # Cues after a name.
 NAME_AFTER = [
-    "has not answered", "and her mother", "and his mother", "ka kuch pata", "ki kuch khabar", "se baat karo", "ne yeh khabar", "aur unki maa",
-    "का कुछ पता", "से बात करो", "ने यह खबर", "ने यह ख़बर", "और उनकी माँ", "എവിടെയെന്ന്", "speaking", "on arrival", "at the gate",
-    "from the next house", "on the terrace",
+    "has not answered", "has not called", "and her mother", "and his mother", "and her father", "and his father", "ka kuch pata", "ki khabar",
+    "ki kuch khabar", "se baat", "ne yeh khabar", "ne khabar", "aur unki maa", "aur unke pita", "का कुछ पता", "की खबर", "से बात", "ने यह खबर",
+    "ने यह ख़बर", "और उनकी माँ", "और उनके पिता", "എവിടെയെന്ന്",
 ]
+# Cues that no other noun follows than a name: one word is enough.
+NAME_CERTAIN = ["my name is", "mera naam", "naam hai", "मेरा नाम", "मेरी नाम", "is called"]
+# Words after the name that make "this is" a cue.
+SPEAKING = re.compile(r"[\s,]*(?:speaking|calling|here)\b")
+SCHEMES = ["mailto:", "tel:", "sms:", "callto:"]
 TITLES = ["mr", "mrs", "ms", "dr", "smt", "shri", "sri", "kumari", "श्री", "श्रीमती", "डॉ"]
 STREETS = ["road", "street", "lane", "avenue", "gali", "marg", "nagar", "रोड", "गली", "റോഡ്"]
 HOUSES = ["house", "door", "flat", "h.no", "h no", "hno", "मकान", "h. no"]
@@ -64,19 +72,21 @@ BACKWARD = re.compile(rf"((?:{TITLE}\s+)?(?:{W}\s+)?(?:[^\W\d_]\b\.?\s+)?{W}\.?)
 TITLED = re.compile(rf"({TITLE}\s+(?:[^\W\d_]\.\s+)?{W}(?:\s+[^\W\d_]\.)?(?:\s+{W})?)", re.I)
 CLOSERS = frozenset("hai hain है हैं ആണ് ആണു at on from speaking and has is ka ki se ne aur का की से ने और par who was in with എന്ന് എവിടെയെന്ന് or to please".split())
 
-DIGITS = re.compile(r"[+(]?\d[\d \-./()]{8,}\d")
+JOINED = frozenset("0123456789 -./()")
 PHONE = re.compile(
     r"(?<![\w./\-])(?:\+ ?91[ \-]?\d{5}[ \-]?\d{5}|0091[ \-]?\d{5}[ \-]?\d{5}|\(0\d{2,4}\) ?\d{3,4}[ \-]?\d{3,4}|0\d{3}[ \-]\d{3}[ \-]\d{4}"
     r"|0\d{2,3}-\d{6,8}|[5-9]\d{2}[. \-]\d{3}[. \-]\d{4}|[5-9]\d{4}[ \-]?\d{5}|\+\d{1,3}[ \-]?\d{6,12}|0[5-9]\d{9})(?![\d\w/]|-\d)"
 )
 NUMBER_WORDS = "zero one two three four five six seven eight nine oh double triple".split()
-SPELLED = re.compile(r"\b(?:(?:" + "|".join(NUMBER_WORDS) + r")\b[\s,\-]*){7,}", re.I)
+SPELLED = re.compile(r"(?:(?:" + "|".join(NUMBER_WORDS) + r")\b[\s,\-]*){7,}", re.I)
 ID12 = re.compile(r"(?<![\w\-+])\d{4}([ \-])\d{4}\1\d{4}(?![\w]|-\d)")
+CLAUSE = re.compile(r"[.!?।,]\s")
 ID_SHAPE = re.compile(
     r"(?<![A-Za-z0-9])(?:\d{4}[ \-]?\d{4}[ \-]?\d{4}|(?:[A-Za-z]{2}[ \-])?\d{4}[ \-/]?\d{6}|[A-Za-z]{3}[ \-]?\d{7}|[A-Za-z][ \-]?\d{7}"
     r"|[A-Za-z]{5}\d{4}[A-Za-z])(?!\w)"
 )
-LOCAL = re.compile(r"[A-Za-z0-9_][A-Za-z0-9._+\-]*$")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-")
+ADDRESS = re.compile(r"[A-Za-z0-9_][A-Za-z0-9._+\-]*@[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z][A-Za-z0-9\-]*)+")
 DOMAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9\-]*(?:(?:\s*[(\[{]dot[)\]}]\s*|\s+dot\s+|\.)[A-Za-z][A-Za-z0-9\-]*)+", re.I)
 HOUSE = re.compile(
     rf"(?:house|door|flat|h\.? ?no|मकान)\b\.?(?:\s*(?:no|number|नंबर)\b\.?)?\s*(?:\d+[A-Za-z]?(?:[/\-]\d*\w*)?)\s*,?(?:\s*{W}){{1,4}}?(?:\s*,\s*{W}(?:\s+{W}){{0,3}}?)?"
@@ -101,8 +111,12 @@ def _automaton():  # noqa: ANN202
     for t in TITLES:
         kinds.setdefault(t + " ", set()).add("title")
         kinds.setdefault(t + ".", set()).add("title")
-    for w in ("zero", "one", "nine", "five"):
-        kinds.setdefault(w + " ", set()).add("spelled")
+    for w in NUMBER_WORDS:
+        kinds.setdefault(w, set()).add("spelled")
+    for d in "0123456789":
+        kinds.setdefault(d, set()).add("digit")
+    for w in SCHEMES:
+        kinds.setdefault(w, set()).add("scheme")
     for w, k in kinds.items():
         a.add_word(w, (len(w), tuple(sorted(k))))
     a.make_automaton()
@@ -116,8 +130,46 @@ def _bounded(s: str, i: int, j: int) -> bool:
     return not (i > 0 and s[i - 1].isalpha() and s[i].isalpha() or j < len(s) and s[j].isalpha() and s[j - 1].isalpha())
 
 
-def _clean_name(words: list[str]) -> list[str]:
-    """Name tokens up to a closing word; empty if no name stands there."""
+def _left(s: str, i: int, tokens: int) -> int:
+    """Where the last `tokens` tokens before position i begin."""
+    for _ in range(tokens):
+        while i > 0 and s[i - 1] == " ":
+            i -= 1
+        i = s.rfind(" ", 0, i) + 1
+        if not i:
+            break
+    return i
+
+
+def _run(s: str, i: int) -> tuple[int, int]:
+    """The run of digits and what joins them about position i, from a digit, + or ( to a digit."""
+    j = i + 1
+    while j < len(s) and s[j] in JOINED:
+        j += 1
+    while not s[j - 1].isdigit():
+        j -= 1
+    if i and s[i - 1] in "+(":
+        i -= 1
+    elif i > 1 and s[i - 1] == " " and s[i - 2] == "+":
+        i -= 2
+    return i, j
+
+
+def verhoeff(digits: str) -> bool:
+    """Whether the last digit is the check digit of the others: sums in the group
+    of symmetries of a pentagon, each place turned by a power of one permutation."""
+    turn, c = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4], 0
+    for k, d in enumerate(reversed(digits)):
+        x = int(d)
+        for _ in range(k % 8):
+            x = turn[x]
+        c = (c + x) % 5 if c < 5 and x < 5 else 5 + (c + x - 5) % 5 if c < 5 else 5 + (c - 5 - x) % 5 if x < 5 else (c - x) % 5
+    return c == 0
+
+
+def _clean_name(words: list[str], certain: bool = False) -> list[str]:
+    """Name tokens up to a closing word; empty if no name stands there.  After a
+    cue that is certain, one word of two letters is a name."""
     out = []
     for w in words:
         if w.lower().strip(".") in CLOSERS:
@@ -128,15 +180,17 @@ def _clean_name(words: list[str]) -> list[str]:
     core = [w for w in out if w.lower().strip(".") not in TITLES]
     if not core or core[0].lower().strip(".") in NOT_NAMES and len(core[0].strip(".")) > 1:
         return []
+    if certain:
+        return out if max(len(w.strip(".")) for w in core) >= 2 else []
     return out if max(len(w.strip(".")) for w in core) >= 4 and len(core) >= 2 else []
 
 
-def _name_forward(s: str, at: int) -> tuple[int, int] | None:
+def _name_forward(s: str, at: int, certain: bool = False) -> tuple[int, int] | None:
     m = FORWARD.match(s, at)
     if not m:
         return None
     words = m.group(1).split()
-    kept = _clean_name(words)
+    kept = _clean_name(words, certain)
     if not kept:
         return None
     start, end = m.start(1), m.start(1)
@@ -148,7 +202,8 @@ def _name_forward(s: str, at: int) -> tuple[int, int] | None:
 
 
 def _name_backward(s: str, at: int) -> tuple[int, int] | None:
-    m = BACKWARD.search(s[max(0, at - 60) : at])
+    base = _left(s, at, 6)  # a title, three names, an initial and a filler
+    m = BACKWARD.search(s[base:at])
     if not m:
         return None
     words = m.group(1).split()
@@ -158,12 +213,23 @@ def _name_backward(s: str, at: int) -> tuple[int, int] | None:
     core = [w for w in words if w.lower().strip(".") not in TITLES]
     if not core or len(last) < 4 or last in NOT_NAMES or len(core) < 2:
         return None
-    base = max(0, at - 60)
     end = base + m.end(1)
     start = base + m.start(1)
     return s.index(words[0], start), end
 
 
+def _numbers(s: str, a: int, b: int, found: list[tuple[int, int, str]]) -> None:
+    """Identity and phone numbers in one run of digits."""
+    for m in ID12.finditer(s, a, min(len(s), b + 2)):
+        found.append((m.start(), m.end(), "id_number"))
+    for m in PHONE.finditer(s, a, min(len(s), b + 2)):
+        found.append((m.start(), m.end(), "phone"))
+    if b - a == 12 and s[a:b].isdigit() and s[a] in "23456789" and not (a and (s[a - 1].isalnum() or s[a - 1] in "-/.")) and not s[b : b + 1].isalnum():
+        # Without groups and cue, the check digit tells; a number after the country's code is a phone's.
+        if verhoeff(s[a:b]) and not (s[a : a + 2] == "91" and s[a + 2] in "56789"):
+            found.append((a, b, "id_number"))
+
+
 def details(s: str) -> list[tuple[int, int, str]]:
     """Details in a text of consistent form: (start, end, type), in order."""
     global _AUTO
@@ -173,40 +239,51 @@ def details(s: str) -> list[tuple[int, int, str]]:
     if len(low) != len(s):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
     found: list[tuple[int, int, str]] = []
-    spelled = False
+    seen = spelled = 0  # ends of the run of digits and of number words parsed last
     for end, (n, kinds) in _AUTO.iter(low):
         i, j = end - n + 1, end + 1
         for kind in kinds:
-            if kind == "mail":
-                if low[i:j] == " at " and " dot " not in low[j : j + 40]:
-                    continue
-                left = LOCAL.search(s[max(0, i - 64) : i].rstrip() if n > 1 else s[max(0, i - 64) : i])
-                if not left:
+            if kind == "digit":
+                if i < seen:
                     continue
+                a, seen = _run(s, i)
+                if seen - a >= 10:
+                    _numbers(s, a, seen, found)
+            elif kind == "mail":
                 k = j
-                while k < len(s) and s[k] == " " and n > 1:
+                while n > 1 and k < len(s) and s[k] == " ":
                     k += 1
                 right = DOMAIN.match(s, k)
                 if not right or low[i:j] == " at " and " dot " not in low[k : right.end()]:
                     continue
-                start = max(0, i - 64) + left.start()
-                found.append((start, right.end(), "email"))
+                e = i
+                while n > 1 and e and s[e - 1] == " ":
+                    e -= 1
+                a = e
+                while a and s[a - 1] in LOCAL:
+                    a -= 1
+                while a < e and s[a] in ".+-":
+                    a += 1
+                if a < e:
+                    found.append((a, right.end(), "email"))
+            elif kind == "scheme":
+                if m := ADDRESS.match(s, j):
+                    found.append((m.start(), m.end(), "email"))
             elif kind == "id":
-                m = ID_SHAPE.search(s, j, min(len(s), j + 40))
-                if m and not re.search(r"[.!?।,]\s", s[j : m.start()]):
+                clause = CLAUSE.search(s, j)
+                if m := ID_SHAPE.search(s, j, clause.start() if clause else len(s)):
                     found.append((m.start(), m.end(), "id_number"))
-            elif kind == "spelled":
-                spelled = True
             elif not _bounded(low, i, j):
                 continue
+            elif kind == "spelled":
+                if i >= spelled and (m := SPELLED.match(s, i)):
+                    spelled = m.end()
+                    found.append((i, i + len(m.group().rstrip(" ,-")), "phone"))
             elif kind == "before":
-                if low[i:j] == "this is" and "speaking" not in low[j : j + 70]:
-                    continue
-                if r := _name_forward(s, j):
+                r = _name_forward(s, j, low[i:j] in NAME_CERTAIN)
+                if r and (low[i:j] != "this is" or SPEAKING.match(low, r[1])):
                     found.append((*r, "person_name"))
             elif kind == "after":
-                if low[i:j] in ("speaking", "on arrival", "at the gate", "from the next house", "on the terrace"):
-                    continue  # closers of cues that stand before the name
                 if r := _name_backward(s, i):
                     found.append((*r, "person_name"))
             elif kind == "title":
@@ -224,23 +301,16 @@ def details(s: str) -> list[tuple[int, int, str]]:
                         e = p.end()
                     found.append((i, e, "street_address"))
             elif kind == "street":
-                if not NUMBER.search(s, max(0, i - 60), i):
+                base = _left(s, i, 6)  # a number, up to four words, and what is glued to them
+                if not NUMBER.search(s, base, i):
                     continue
-                m = STREET_LEFT.search(s[max(0, i - 60) : i])
+                m = STREET_LEFT.search(s[base:i])
                 if m and not {w.lower() for w in m.group(2).split()} & NOT_NAMES:
                     words = [w.lower() for w in m.group(2).split()]
                     right = STREET_RIGHT.match(s, j)
                     pin = "pin" in s[j : right.end()].lower()
                     if pin or not any(x.isdigit() for w in words for x in w) and s[j : j + 1] in ("", ",", ".", " "):
-                        found.append((max(0, i - 60) + m.start(), right.end() if pin else j, "street_address"))
-    for run in DIGITS.finditer(s):
-        for m in ID12.finditer(s, run.start(), min(len(s), run.end() + 2)):
-            found.append((m.start(), m.end(), "id_number"))
-        for m in PHONE.finditer(s, run.start(), min(len(s), run.end() + 2)):
-            found.append((m.start(), m.end(), "phone"))
-    if spelled:
-        for m in SPELLED.finditer(s):
-            found.append((m.start(), m.start() + len(m.group().rstrip(" ,-")), "phone"))
+                        found.append((base + m.start(), right.end() if pin else j, "street_address"))
     if not found:
         return []
     rank = {"email": 0, "id_number": 1, "street_address": 2, "phone": 3, "person_name": 4}
@@ -292,8 +362,8 @@ def redact(t: str, f: Rewriter) -> tuple[str, list[str]]:
     if not spans:
         return t, []
     u, starts, ends = aligned(f, t)
-    if u != s:  # cannot be aligned: the consistent form is redacted instead
-        t, starts, ends = s, list(range(len(s))), list(range(1, len(s) + 1))
+    if u != s:  # two rounds of rewriting went further than the form: look again there
+        spans = details(u)
     out, pos = [], 0
     for i, j, kind in spans:
         a, b = starts[i], ends[j - 1]
