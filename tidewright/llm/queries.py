@@ -59,21 +59,25 @@ def _arrivals(spark: SparkSession, root: str) -> DataFrame:
     return s.filter(ok).distinct()
 
 
+def _by_run(spark: SparkSession, root: str) -> DataFrame:
+    """One summary of arrivals for each run, with half of the permitted error."""
+    return ranks.merged(ranks.summaries(_arrivals(spark, root), ["run_id"], "arrived_at_min"), ["run_id"], ranks.ERROR / 2)
+
+
 def p3_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """Percentiles of arrivals and of the runs' medians for each policy, with the
-    rank error, from summaries of runs."""
+    rank error (at most a thousandth of n), from summaries of runs."""
     runs = _runs(spark, root)
-    by_run = ranks.merged(ranks.summaries(_arrivals(spark, root), ["run_id"], "arrived_at_min"), ["run_id"])
-    with_policy = by_run.join(runs.select("run_id", "policy").distinct(), "run_id").select("policy", F.lit("arrived_at_min").alias("metric"), "n", "v", "lo", "hi")
+    with_policy = _by_run(spark, root).join(runs.select("run_id", "policy").distinct(), "run_id").select("policy", F.lit("arrived_at_min").alias("metric"), "n", "v", "lo", "hi")
     medians = runs.filter("median > 0").select("policy", F.lit("median_time_to_reach_min").alias("metric"), "median")
     both = with_policy.unionByName(ranks.summaries(medians, ["policy", "metric"], "median"))
     keys = ["policy", "metric"]
-    return ranks.percentiles(ranks.merged(both, keys), keys, PERCENTILES)
+    return ranks.percentiles(ranks.merged(both, keys, ranks.ERROR, ranks.ERROR / 2), keys, PERCENTILES)
 
 
 def p3_run_summaries(spark: SparkSession, root: str) -> DataFrame:
     """One rank summary for each run, to be stored and merged with later ones."""
-    return ranks.merged(ranks.summaries(_arrivals(spark, root), ["run_id"], "arrived_at_min"), ["run_id"])
+    return _by_run(spark, root)
 
 
 def _sizes(spark: SparkSession, root: str) -> DataFrame:

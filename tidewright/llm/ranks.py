@@ -1,33 +1,36 @@
 """Problem 3: percentiles of very large columns, with a stated rank error.
 
 A summary of n values is a list of tuples (value, least rank, greatest rank),
-kept sorted.  Summaries are built per partition, compressed to at most `size`
-tuples, and merged hierarchically; merging adds rank bounds exactly, and
-compression widens the gaps between neighbours, so the greatest gap that is
-left states the error:
+kept sorted.  Summaries are built per partition and merged hierarchically, first
+by key and salt, then by key.  Merging adds rank bounds exactly.  Compression
+removes tuples as long as the uncertainty between the neighbours that stay,
 
-    error = max over neighbours i, i + 1 of (greatest rank of i + 1 - least rank of i) / 2
+    greatest rank of i + 1 - least rank of i,
 
-For each rank there is a tuple whose rank is within that error.  Everything is
+is at most twice the permitted error times n.  Each level of merging is given a
+part of the permitted error, so that what accumulates never exceeds it; what it
+came to is computed from the tuples and stated with every result.  Everything is
 deterministic in its input; summaries of runs, zones or days can be stored and
 merged later.
 
-Defined cases: null and non-finite values are left out; a key without values
-has no summary; with no more than `size` values a summary is exact.
+Defined cases: null and non-finite values are left out; null keys are a key;
+a key without values has no summary; with at most 1 / (2 * error) values at every
+level a summary is exact.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tuples that a summary keeps at most.
-SIZE = 2000
+#: Permitted error of a rank, as a part of n.
+ERROR = 0.001
 #: Values that a task buffers before it summarises them.
 BUFFER = 1_000_000
 
@@ -40,20 +43,20 @@ def exact(values: np.ndarray) -> Summary:
     return v, r, r.copy(), len(v)
 
 
-def compress(s: Summary, size: int = SIZE) -> Summary:
-    """At most `size` tuples at even ranks, with both ends."""
+def compress(s: Summary, error: float) -> Summary:
+    """The summary without the tuples that the permitted error can spare; both ends stay."""
     v, lo, hi, n = s
-    if len(v) <= size:
+    room = 2 * error * n
+    if len(v) < 3 or room < 2:
         return s
-    target = np.linspace(1, n, size)
-    mid = (lo + hi) / 2
-    i = np.clip(np.searchsorted(mid, target), 0, len(v) - 1)
-    j = np.maximum(i - 1, 0)
-    i = np.where(np.abs(mid[j] - target) <= np.abs(mid[i] - target), j, i)
-    i = np.unique(np.concatenate([[0], i, [len(v) - 1]]))
-    if len(i) > size:
-        i = np.delete(i, len(i) // 2)
-    return v[i], lo[i], hi[i], n
+    # The farthest tuple whose greatest rank is within reach of each tuple's least rank.
+    reach = np.searchsorted(hi, lo + room, "right") - 1
+    reach = np.maximum(reach, np.arange(len(v)) + 1).tolist()
+    keep, i, last = [0], 0, len(v) - 1
+    while i < last:
+        i = min(reach[i], last)
+        keep.append(i)
+    return v[keep], lo[keep], hi[keep], n
 
 
 def merge(a: Summary, b: Summary) -> Summary:
@@ -74,6 +77,13 @@ def merge(a: Summary, b: Summary) -> Summary:
     return v[order], np.concatenate([l1, l2])[order], np.concatenate([h1, h2])[order], na + nb
 
 
+def united(many: list[Summary]) -> Summary:
+    """All summaries merged, in a balanced tree."""
+    while len(many) > 1:
+        many = [merge(*many[i : i + 2]) if i + 1 < len(many) else many[i] for i in range(0, len(many), 2)]
+    return many[0]
+
+
 def error(s: Summary) -> float:
     """Ranks by which an answer may be off at most."""
     v, lo, hi, n = s
@@ -100,76 +110,83 @@ def _emit(keys: list[tuple], got: list[Summary], names: list[str], kinds: list[p
     return pa.RecordBatch.from_arrays(cols, names=[*names, "n", "v", "lo", "hi"])
 
 
-def _packed(done: dict, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    items = list(done.items())
-    for i in range(0, len(items), 200):
-        yield _emit([k for k, _ in items[i : i + 200]], [s for _, s in items[i : i + 200]], names, kinds)
-
-
-def summaries(df: DataFrame, keys: list[str], value: str, size: int = SIZE) -> DataFrame:
-    """One summary for each key in each partition: (*keys, n, v, lo, hi)."""
+def _split(b: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(key, finite values) of a batch of keys and a value."""
+    x = b.column(keys).to_numpy(zero_copy_only=False).astype(np.float64)
+    ok = np.isfinite(x)
+    code = np.zeros(len(x), np.int64)
+    for i in range(keys):
+        enc = b.column(i).dictionary_encode(null_encoding="encode")
+        _, code = np.unique(code * max(1, len(enc.dictionary)) + enc.indices.to_numpy(), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    order = order[ok[order]]
+    cuts = np.flatnonzero(np.diff(code[order])) + 1
+    for part in np.split(order, cuts) if len(order) else []:
+        yield tuple(b.column(i)[int(part[0])].as_py() for i in range(keys)), x[part]
+
+
+def summaries(df: DataFrame, keys: list[str], value: str, error: float = ERROR / 4) -> DataFrame:
+    """Summaries of the keys in each partition: (*keys, n, v, lo, hi).  A task holds
+    at most BUFFER values; a key of more has several summaries."""
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[tuple, Summary] = {}
-        waiting: dict[tuple, list[float]] = {}
+        waiting: dict[tuple, list[np.ndarray]] = {}
         held, kinds = 0, None
 
-        def flush() -> None:
-            for k, vals in waiting.items():
-                s = compress(exact(np.array(vals)), size)
-                done[k] = compress(merge(done[k], s), size) if k in done else s
+        def flush() -> Iterator[pa.RecordBatch]:
+            items = list(waiting.items())
+            for i in range(0, len(items), 200):
+                own = items[i : i + 200]
+                yield _emit([k for k, _ in own], [compress(exact(np.concatenate(v)), error) for _, v in own], keys, kinds)
             waiting.clear()
 
         for b in batches:
             kinds = kinds or [b.schema.field(i).type for i in range(len(keys))]
-            cols = [b.column(i).to_pylist() for i in range(len(keys) + 1)]
-            for *k, x in zip(*cols):
-                if x is not None and math.isfinite(x):
-                    waiting.setdefault(tuple(k), []).append(x)
-                    held += 1
+            for k, x in _split(b, len(keys)):
+                waiting.setdefault(k, []).append(x)
+                held += len(x)
             if held > BUFFER:
-                flush()
+                yield from flush()
                 held = 0
-        flush()
         if kinds:
-            yield from _packed(done, keys, kinds)
+            yield from flush()
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), SCHEMA])
     return df.select(*keys, F.col(value).cast("double")).mapInArrow(run, schema)
 
 
-def combined(parts: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
-    """Summaries united within each partition, which holds one running summary
-    for each key at a time."""
+def combined(parts: DataFrame, keys: list[str], error: float) -> DataFrame:
+    """Summaries of one key united within each partition, which is sorted by the
+    keys: a task holds the summaries of one key at a time."""
     types = dict(parts.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[tuple, Summary] = {}
-        kinds = None
-        for b in batches:
-            kinds = kinds or [b.schema.field(i).type for i in range(len(keys))]
-            cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-            for row in zip(*cols):
-                k, (n, v, lo, hi) = row[: len(keys)], row[len(keys) :]
-                s = np.array(v, float), np.array(lo, np.int64), np.array(hi, np.int64), n
-                done[k] = compress(merge(done[k], s), size) if k in done else compress(s, size)
-        if kinds:
-            yield from _packed(done, keys, kinds)
+        kinds: list[pa.DataType] = []
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                kinds[:] = [b.schema.field(i).type for i in range(len(keys))]
+                yield from zip(*(b.column(i).to_pylist() for i in range(b.num_columns)))
+
+        for k, own in groupby(rows(), key=lambda r: r[: len(keys)]):
+            many = [(np.array(v, float), np.array(lo, np.int64), np.array(hi, np.int64), n) for n, v, lo, hi in (r[len(keys) :] for r in own)]
+            yield _emit([k], [compress(united(many), error)], keys, kinds)
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), SCHEMA])
     return parts.select(*keys, "n", "v", "lo", "hi").mapInArrow(run, schema)
 
 
-def merged(parts: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
-    """One summary for each key.  Merging is hierarchical: within partitions, in
-    about the square root of their number, and by key; no task ever receives
-    more than the summaries of that many partitions for a key."""
+def merged(parts: DataFrame, keys: list[str], error: float = ERROR, before: float = ERROR / 4) -> DataFrame:
+    """One summary for each key with an error of at most `error`, from summaries
+    with an error of at most `before`.  Merging is hierarchical: by key and salt,
+    then by key; no task receives more than the summaries of about the square
+    root of the number of partitions for a key."""
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = combined(parts, keys, size)
     salt = F.pmod(F.xxhash64("n", F.element_at("v", 1), F.element_at("v", -1)), F.lit(max(2, math.isqrt(n))))
-    second = combined(first.withColumn("_salt", salt).repartition(n, *keys, "_salt"), [*keys, "_salt"], size).drop("_salt")
-    return combined(second.repartition(n, *keys), keys, size)
+    salted = parts.withColumn("_salt", salt)
+    first = combined(salted.repartition(n, *keys, "_salt").sortWithinPartitions(*keys, "_salt"), [*keys, "_salt"], (before + error) / 2).drop("_salt")
+    return combined(first.repartition(n, *keys).sortWithinPartitions(*keys), keys, error)
 
 
 def percentiles(sums: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
