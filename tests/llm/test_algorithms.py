@@ -259,11 +259,17 @@ def test_mixture(spark):
     assert s["absent"].drawn_tokens == 0
     for name, share in (("big_one", 0.6), ("small_one", 0.3), ("tiny", 0.05)):
         assert s[name].actual_share == pytest.approx(share / 0.95, abs=0.02)
-        assert abs(s[name].drawn_tokens - s[name].quota_tokens) <= 60
+        assert 0 <= s[name].quota_tokens - s[name].drawn_tokens <= 3
     pos: dict[int, list] = {}
     for x in rows:
         pos.setdefault(x.shard, []).append(x.position)
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in pos.values())
+    with pytest.raises(ValueError, match="targets"):
+        mixing.PLAN_BLOCKS, was = 3, mixing.PLAN_BLOCKS
+        try:
+            mixing.mixture(df, mix, "doc_id")
+        finally:
+            mixing.PLAN_BLOCKS = was
     empty, rep = mixing.mixture(df.limit(0), mix, "doc_id")
     assert empty.count() == 0 and rep.count() == 4
 

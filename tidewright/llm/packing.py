@@ -12,7 +12,7 @@ that blocks are packed in parallel; a block loses less than one container to
 the others.
 
 Defined cases: items of no tokens (null and empty texts) are not packed; a
-capacity of less than 1 packs nothing.
+capacity of less than 1 packs nothing; more than MAX_SPECS specs are refused.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Items of one block.
 BLOCK = 10_000
+#: Specs at most; more are refused.
+MAX_SPECS = 1000
 
 
 def fullest(lengths: list[int], count: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -94,7 +96,9 @@ def packed(sizes: DataFrame, specs: DataFrame, ident: str, block: int = BLOCK) -
     kind = dict(sizes.dtypes)[ident]
     s = sizes.filter("n_tokens > 0").withColumn("block", F.pmod(F.xxhash64(ident), F.lit(blocks)))
     # Specs are a small fixed table; each item is packed once for each of them.
-    rows = [(r.spec_id, r.capacity_tokens) for r in specs.filter("capacity_tokens > 0").distinct().orderBy("spec_id").limit(1000).collect()]
+    rows = [(r.spec_id, r.capacity_tokens) for r in specs.filter("capacity_tokens > 0").distinct().orderBy("spec_id").limit(MAX_SPECS + 1).collect()]
+    if len(rows) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} specs")
     if not rows:
         rows = [("", 0)]
         s = s.limit(0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import language, lookalike, mixing, neardup, packing, personal, ranks, spam, survivors, tokens
-from tidewright.session import bounded_sample, cut
+from tidewright.session import bounded_sample, cut, small
 from tidewright.sources.tables import table
 
 
@@ -91,7 +91,7 @@ def p8_packing(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_fill(spark: SparkSession, root: str) -> DataFrame:
     """Containers, tokens and fill of each spec."""
-    p = p8_packing(spark, root).join(F.broadcast(table(spark, root, "pack_specs").limit(1000)), "spec_id")
+    p = p8_packing(spark, root).join(small(table(spark, root, "pack_specs").distinct()), "spec_id")
     boxes = p.groupBy("spec_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("used"))
     return boxes.groupBy("spec_id", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), (F.sum("used") / F.sum("capacity_tokens")).alias("fill"), F.max("used").alias("fullest"))
 
