@@ -86,6 +86,35 @@ def test_near_pairs(spark, seed):
     assert len(got) > 60
 
 
+def test_near_pairs_of_long_records(spark):
+    """Records of some hundred to thousands of frequent words, at the borders of the ranges of sizes too."""
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(6000)]
+    t0, rows = dt.datetime(2026, 1, 1), []
+    for n in (50, 52, 60, 63, 64, 70, 100, 210, 255, 260, 300, 1000, 1030, 2500):
+        for _ in range(2):
+            base = r.sample(words[: max(90, 2 * n)], n)
+            rows.append((f"m{len(rows):04}", " ".join(base), t0))
+            for lost in (0.0, 0.05, 0.1, 0.19, 0.21):
+                k = int(n * lost)
+                rows.append((f"m{len(rows):04}", " ".join(r.sample(base, n - k)), t0))
+                rows.append((f"m{len(rows):04}", " ".join(base[k // 2 :] + [f"new{len(rows)}x{j}" for j in range(k // 2)]), t0))
+    df = spark.createDataFrame(rows, "message_id string, raw_text string, received_at timestamp_ntz").repartition(3)
+    got = {(x.a, x.b) for x in neardup.near_pairs(df).collect()}
+    assert got == brute(rows, 0.8, 12, 20)
+    assert len(got) > 300
+
+
+@pytest.mark.parametrize("n", [64, 200, 400, 1000, 4000])
+def test_combinations_are_in_proportion_to_length(n):
+    r = neardup.range_of(n)
+    parts = neardup.parts_of(r)[4]
+    h = list(range(n))
+    sig, level = neardup.combos(h, [x % parts * 8 + 4 for x in h], [4] * n, neardup.misses(n, 0.8))
+    assert len(sig) <= 60 * n and len(sig) == len(level)
+    assert math.ceil(0.8 * max(20, neardup.RANGE * 4 ** (r - 1))) > neardup.loss(r)
+
+
 def test_near_pairs_edges(spark):
     df = spark.createDataFrame([], "message_id string, raw_text string, received_at timestamp_ntz")
     assert neardup.near_pairs(df).count() == 0

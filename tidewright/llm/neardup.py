@@ -15,8 +15,14 @@ carries the level of the prefix that it came in at, and pairs only meet in
 combinations that both their prefixes need.  Candidates are then pruned by
 bitmaps of their words and verified on the words.
 
+Long sets would have a number of combinations that grows with a power of their
+length, so classes are split into more hash parts for them: sizes fall into
+ranges, each range has its own parts, and a set takes part in the ranges that
+the larger set of a similar pair can be in, which are one or two.
+
 Equal sets are handled once: similarity is computed between distinct sets, and
-records join to sets afterwards.
+records join to sets afterwards.  Words and sets are told apart by hashes of 40
+and 64 bits.
 
 Defined cases: null texts and texts with fewer words than `min_words` take no
 part; repeated rows of a record count once; a similarity equal to t is a match.
@@ -43,14 +49,27 @@ SLOTS = 1 << 20
 WIDTH = 5
 #: Records that one combination should hold on average; sets the class borders.
 SHARE = 16
-#: Hash parts that a class is split into (fewer combinations for a slightly longer prefix).
+#: Hash parts that a class is split into (fewer combinations for a slightly longer prefix), for sets of less than RANGE words.
 PARTS = {1: 1, 2: 4, 3: 2, 4: 1}
+RANGE = 64
 M64 = (1 << 64) - 1
 
 
-def loss() -> int:
-    """Words that class borders may cost a prefix at most."""
-    return sum(PARTS[k] * (k - 1) for k in PARTS)
+def parts_of(r: int) -> dict[int, int]:
+    """Hash parts of each class for the sets of range r, of RANGE * 4 ** (r - 1) words and more."""
+    return PARTS if r == 0 else {1: 1, 2: 2 * 4**r, 3: 4**r, 4: 4**r}
+
+
+def range_of(n: int) -> int:
+    r = 0
+    while n >= RANGE * 4**r:
+        r += 1
+    return r
+
+
+def loss(r: int = 0) -> int:
+    """Words that class borders may cost a prefix at most in range r."""
+    return sum(p * (k - 1) for k, p in parts_of(r).items())
 
 
 def misses(n: int, t: float) -> int:
@@ -118,7 +137,7 @@ def word_sets(df: DataFrame, ident: str, text: str, keep: list[str], min_words:
 
 
 def bitmaps(sets: DataFrame) -> DataFrame:
-    """(uid, n, bits0, bits1), once for each set: 128 bits, one set by each word."""
+    """(uid, n, bits0, bits1) of distinct sets: 128 bits, one set by each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +151,7 @@ def bitmaps(sets: DataFrame) -> DataFrame:
             bits = [np.bitwise_or.reduceat(np.where((bit < 64) == low, one, np.uint64(0)), at).view(np.int64) for low in (True, False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in bits)], names=["uid", "n", "bits0", "bits1"])
 
-    return sets.select("uid", "n", "words").mapInArrow(run, "uid bigint, n int, bits0 bigint, bits1 bigint").dropDuplicates(["uid"])
+    return sets.select("uid", "n", "words").mapInArrow(run, "uid bigint, n int, bits0 bigint, bits1 bigint")
 
 
 def word_counts(sets: DataFrame) -> tuple[np.ndarray, int]:
@@ -182,76 +201,67 @@ def combos(g: list[int], part: list[int], cls: list[int], m: int) -> tuple[list[
     return out, level
 
 
-def mixed(h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Hashes of words in a class, of less than 60 bits."""
-    x = h + cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def mixed(h: np.ndarray, cls: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Hashes of words in a class and range, of less than 60 bits."""
+    x = h + (cls.astype(np.uint64) + r.astype(np.uint64) * np.uint64(8)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return (x ^ (x >> np.uint64(31))) >> np.uint64(5)
 
 
 def signatures(sets: DataFrame, counts: np.ndarray, n: int, t: float) -> DataFrame:
-    """(sig, uid, meta) of all sets, meta = n * 65536 + level; a set that a task
-    has just seen is not repeated.  Signatures have 48 bits: a rare collision
-    makes a candidate that verification drops."""
+    """(sig, uid, size, level) of distinct sets.  Signatures have 48 bits: a rare
+    collision makes a candidate that verification drops."""
     table = sets.sparkSession.sparkContext.broadcast(counts)
     edge = borders(n)
-    parts = np.array([1, *(PARTS[k] for k in sorted(PARTS))], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, seen = table.value, set()
+        c = table.value
         for b in batches:
-            if len(seen) > 1_000_000:
-                seen.clear()
-            pick = []
-            for i, u in enumerate(b.column(0).to_pylist()):
-                if u not in seen:
-                    seen.add(u)
-                    pick.append(i)
-            if not pick:
+            if not b.num_rows:
                 continue
-            own = b.take(pa.array(pick, pa.int64()))
-            uids, ns, words = (own.column(i).to_pylist() for i in range(3))
-            h = unpack(b"".join(words))
-            size = np.array([len(w) // WIDTH for w in words])
-            doc = np.repeat(np.arange(len(pick)), size)
+            uids, ns, words = (b.column(i).to_pylist() for i in range(3))
+            # A set as often as it has ranges.
+            own = [(i, r) for i, m in enumerate(ns) for r in range(range_of(m), range_of(int(m / t + 1e-9)) + 1)]
+            h = unpack(b"".join(words[i] for i, _ in own))
+            size = np.array([len(words[i]) // WIDTH for i, _ in own])
+            doc, r = np.repeat(np.arange(len(own)), size), np.repeat(np.array([r for _, r in own]), size)
             df = c[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
             order = np.lexsort((h, df, doc))
             h, df = h[order], df[order]
             cls = np.searchsorted(edge, df, side="left") + 1
-            part = (h % parts[cls]).astype(np.int64) * 8 + cls
-            g, part, cls = mixed(h, cls).tolist(), part.tolist(), cls.tolist()
+            parts = np.array([[1, *parts_of(x).values()] for x in range(int(r.max()) + 1)], np.uint64)[r, cls]
+            part = (h % parts).astype(np.int64) * 8 + cls
+            g, part, cls = mixed(h, cls, r).tolist(), part.tolist(), cls.tolist()
             sig, level, many, at = [], [], [], 0
-            for m, k in zip(ns, size.tolist()):
-                x, y = combos(g[at : at + k], part[at : at + k], cls[at : at + k], misses(m, t))
+            for (i, _), k in zip(own, size.tolist()):
+                x, y = combos(g[at : at + k], part[at : at + k], cls[at : at + k], misses(ns[i], t))
                 sig += x
                 level += y
                 many.append(len(x))
                 at += k
             s = (np.array(sig, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
-            who = np.repeat(np.array(uids, np.int64), many)
-            meta = np.repeat(np.minimum(np.array(ns, np.int64), 32767), many) * 65536 + np.minimum(np.array(level, np.int64), 65535)
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64), pa.int64()), pa.array(who, pa.int64()), pa.array(meta.astype(np.int32), pa.int32())], names=["sig", "uid", "meta"])
+            who = np.repeat(np.array([i for i, _ in own]), many)
+            cols = [pa.array(s.view(np.int64), pa.int64()), pa.array(np.array(uids, np.int64)[who]), pa.array(np.array(ns, np.int32)[who]), pa.array(level, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["sig", "uid", "size", "level"])
 
-    return sets.select("uid", "n", "words").mapInArrow(run, "sig bigint, uid bigint, meta int")
+    return sets.select("uid", "n", "words").mapInArrow(run, "sig bigint, uid bigint, size int, level int")
 
 
 def similar_sets(sets: DataFrame, t: float) -> DataFrame:
-    """(ua, ub), each once: distinct sets of similarity t or more."""
+    """(ua, ub), each once: pairs of the distinct `sets` (uid, n, words) of
+    similarity t or more.  Exchanges have no fixed number of partitions, so that
+    adaptive execution can split those that a hot signature fills."""
     counts, n = word_counts(sets)
     sigs = signatures(sets, counts, n, t)
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sigs = sigs.repartition(parts, "sig").distinct()
     a, b = sigs.alias("a"), sigs.alias("b")
-    na, nb = F.shiftright("a.meta", 16), F.shiftright("b.meta", 16)
-    la, lb = F.col("a.meta").bitwiseAND(65535), F.col("b.meta").bitwiseAND(65535)
+    na, nb, la, lb = F.col("a.size"), F.col("b.size"), F.col("a.level"), F.col("b.level")
     # Words of each set that the partner may lack, when it has the partner's size:
-    # a combination counts only if both prefixes need it.  (Sizes above 32766 are
-    # stored as 32767 and let through.)
+    # a combination counts only if both prefixes need it.
     o = F.ceil(F.lit(t / (1 + t)) * (na + nb) - F.lit(1e-9))
-    fits = (la <= na - o) & (lb <= nb - o) | (na == 32767) | (nb == 32767)
+    fits = (la <= na - o) & (lb <= nb - o)
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.uid") < F.col("b.uid")) & fits)
-    pairs = pairs.select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")).repartition(parts, "ua").distinct()
+    pairs = pairs.select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")).distinct()
     one = bitmaps(sets)
     x = one.select(F.col("uid").alias("ua"), F.col("n").alias("na"), F.col("bits0").alias("a0"), F.col("bits1").alias("a1"))
     y = one.select(F.col("uid").alias("ub"), F.col("n").alias("nb"), F.col("bits0").alias("b0"), F.col("bits1").alias("b1"))
@@ -263,7 +273,7 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
         return bits[0] + bits[1]
 
     pairs = pairs.filter((F.col("na") - gone("a", "b") >= need) & (F.col("nb") - gone("b", "a") >= need)).select("ua", "ub", "na", "nb")
-    words = sets.select("uid", "words").dropDuplicates(["uid"])
+    words = sets.select("uid", "words")
     full = pairs.join(words.select(F.col("uid").alias("ua"), F.col("words").alias("wa")), "ua")
     full = full.join(words.select(F.col("uid").alias("ub"), F.col("words").alias("wb")), "ub")
 
@@ -295,7 +305,7 @@ def near_pairs(
     """Pairs (a < b) of records at most `hours` apart whose word sets are alike."""
     d = df.select(F.col(ident), F.col(text), F.expr(f"unix_micros(cast(`{time}` as timestamp))").alias("at"))
     sets = prepared(d, ident, text, ["at"], min_words, t, table)
-    sims = similar_sets(sets, t)
+    sims = similar_sets(cut(sets.select("uid", "n", "words").dropDuplicates(["uid"]), "distinct"), t)
     width = int(hours * 3_600_000_000)
     rows = sets.select("id", "uid", "at").filter("at is not null").distinct()
     # Sets are paired with themselves too where several records hold them.
