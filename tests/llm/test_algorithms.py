@@ -105,6 +105,15 @@ def test_near_pairs_of_long_records(spark):
     assert len(got) > 300
 
 
+def test_near_groups(spark):
+    base = [f"w{k}" for k in range(30)]
+    rows = [(f"c{k}", " ".join(base)) for k in range(5)] + [("e", " ".join(base[:27])), ("f", " ".join(base[3:27])), ("x", " ".join(f"y{k}" for k in range(25))), ("s", "short"), ("n", None)]
+    got = {r.message_id: r for r in neardup.near_groups(spark.createDataFrame(rows, "message_id string, raw_text string")).collect()}
+    assert set(got) == {*(f"c{k}" for k in range(5)), "e", "f", "x"}
+    assert len({got[k].group_id for k in ("c0", "c4", "e", "f")}) == 1 and got["x"].group_id == got["x"].set_id
+    assert (got["c0"].n_links, got["e"].n_links, got["x"].n_links) == (2, 2, 0)
+
+
 @pytest.mark.parametrize("n", [64, 200, 400, 1000, 4000])
 def test_combinations_are_in_proportion_to_length(n):
     r = neardup.range_of(n)

@@ -18,6 +18,13 @@ ALIKE = [
     ("n͏a‍̄du", "nādu"),
     ("Case‑0001", "Case-0001"),
     ("ﬁnish", "finish"),
+    ("b\u1ea5t", "b\u00e2\u0301t"),
+    ("b\u1ea5t", "b\u0430\u0302\u0301t"),  # a Cyrillic letter with two marks
+    ("q\u0323\u0307", "q\u0307\u0323"),
+    ("\uff76\uff9e", "\u30ac"),  # half-width letter and voiced mark
+    ("\u2163", "IV"),
+    ("\u13a0\u13a2", "DT"),
+    ("\u04c0", "I"),
     ("मरीज़", "मरीज़"),
     ("ന്‍", "ൻ"),
 ]
@@ -49,6 +56,27 @@ def test_rewriting_settles(rewrite, a, b):
     assert rewrite(rewrite(a)) == rewrite(a)
 
 
+def test_representatives_do_not_depend_on_size():
+    for k in (1, 1000):
+        assert lookalike.rewrites({"а": 40 * k, "a": 60 * k, "о": 300 * k, "o": 1 * k})["а"] == "a"
+        assert lookalike.rewrites({"а": 40 * k, "a": 60 * k, "о": 300 * k, "o": 1 * k})["o"] == "о"
+
+
+def test_spans_of_composed_texts():
+    f = lookalike.Rewriter(lookalike.rewrites({c: 1 for c in "cal 012345678q\u0323\u0307\u0430\u0302\u0301+"}))
+    t = "q\u0307\u0323 \u0430\u0302\u0301 call 5997680846 \u0430\u0301"
+    u, starts, ends = personal.aligned(f, t)
+    assert u == f(t) and len(u) == len(starts) == len(ends)
+    assert personal.redact(t, f) == (t.replace("5997680846", "<PHONE>"), ["phone"])
+
+
+def test_alike_classes(spark):
+    rows = [("m1", "hello w\u043erld"), ("m2", "hello  world"), ("m2", "hello  world"), ("m3", "else"), ("m4", None), ("m5", " ")]
+    got = {r.message_id: r for r in lookalike.alike_classes(spark.createDataFrame(rows, "message_id string, raw_text string")).collect()}
+    assert set(got) == {"m1", "m2", "m3"} and got["m1"].class_id == got["m2"].class_id != got["m3"].class_id
+    assert got["m1"].spelling_id != got["m2"].spelling_id
+
+
 def test_alike_pairs(spark):
     rows = [("m1", "hello wоrld"), ("m2", "hello  world"), ("m3", "hello world "), ("m3", "hello world "), ("m4", "hello world "), ("m5", None), ("m6", "​"), ("m7", " "), ("m8", "else")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "message_id string, raw_text string, form int, raw string")

@@ -5,7 +5,9 @@ between *strings* of code points: compatibility forms, canonical compositions,
 look-alike letters, blanks, and characters without a glyph.  Each class is
 represented by its member that is most frequent in the corpus (counted over
 all rows), and texts are rewritten greedily, longest match first, by a
-multi-pattern automaton.
+multi-pattern automaton.  Sequences of any number of marks, in any order, are
+brought into canonical order and composed before and after each rewriting, so
+that what rewriting brings together (a replaced letter and its marks) meets too.
 
 Defined cases: a null text stays null; a text with nothing visible becomes the
 empty string; runs of any blanks become one blank and none stays at the ends.
@@ -35,6 +37,15 @@ LOOKALIKE_LETTERS = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
     # Armenian and Latin letters with the glyph of another
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ɡ": "g", "ɩ": "i", "ı": "i", "ʏ": "Y",
+    # Cyrillic palochka
+    "Ӏ": "I", "ӏ": "l",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W",
+    "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
     # hyphens
     "‐": "-", "‑": "-", "﹣": "-",
 }
@@ -42,9 +53,10 @@ LOOKALIKE_LETTERS = {
 CHILLU = {"ൺ": "ണ്‍", "ൻ": "ന്‍", "ർ": "ര്‍", "ൽ": "ല്‍", "ൾ": "ള്‍", "ൿ": "ക്‍"}
 #: Compatibility tags whose decomposition has the same look.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<font>"}
-#: Occurrences that an ASCII member of a class counts more, so that a small corpus in
-#: disguise doesn't make the disguise the rule.
-ASCII_PRIOR = 1000
+#: Part of all characters by which an ASCII member of a class counts more, so that a
+#: disguise has to be common in the whole corpus to become the rule.
+ASCII_PRIOR = 0.05
+ROMAN = range(0x2160, 0x2180)
 JOINERS = "‌‍"
 
 
@@ -67,7 +79,7 @@ def expansion(ch: str) -> str | None:
     if tag[0] != "<":
         return None
     s = "".join(chr(int(x, 16)) for x in rest.split())
-    if tag in SAME_LOOK:
+    if tag in SAME_LOOK or ord(ch) in ROMAN:
         return s
     if tag == "<compat>" and len(s) > 1 and (s.isascii() and s.isalpha() and ord(ch) >= 0xFB00 or set(s) == {"."}):
         return s
@@ -131,6 +143,17 @@ def classes(alphabet: Iterable[str]) -> Classes:
                 if len(whole) == 1:
                     for x in {*members, b}:
                         uf.union(x + m, whole)
+    # So does any letter that looks like the base of a composed one, with a mark that looks like its mark.
+    of: dict[str, list[str]] = {}
+    for g in uf.groups():
+        for m in g:
+            of[m] = [x for x in g if len(x) == 1]
+    for ch in chars:
+        nfd = unicodedata.normalize("NFD", ch)
+        if len(nfd) == 2:
+            for x in of.get(nfd[0], [nfd[0]]):
+                for y in of.get(nfd[1], [nfd[1]]):
+                    uf.union(x + y, ch)
     # Joiners are seen after a virama and between pictographs.
     for v in [c for c in chars if unicodedata.combining(c) == 9]:
         for j in JOINERS:
@@ -142,10 +165,11 @@ def classes(alphabet: Iterable[str]) -> Classes:
 
 def rewrites(counts: dict[str, int]) -> dict[str, str]:
     """Map each class member to its representative: the most frequent member by
-    `counts`, where ASCII has a small prior (ties: the shorter, then the first by code point; a class with the
+    `counts`, where ASCII has a prior in proportion to the corpus (ties: the shorter, then the first by code point; a class with the
     empty string is represented by it).  Identities of longer strings stay in
     the map where they must be protected from shorter matches."""
     uf = classes(k for k in counts if len(k) == 1)
+    prior = ASCII_PRIOR * sum(n for k, n in counts.items() if len(k) == 1) + 1e-9
     out: dict[str, str] = {}
     for members in uf.groups():
         if "" in members:
@@ -153,13 +177,30 @@ def rewrites(counts: dict[str, int]) -> dict[str, str]:
         elif " " in members:
             rep = " "
         else:
-            rep = min(members, key=lambda s: (-counts.get(s, 0) - ASCII_PRIOR * s.isascii(), len(s), s))
+            rep = min(members, key=lambda s: (-counts.get(s, 0) - prior * s.isascii(), len(s), s))
         for m in members:
             if m and (m != rep or len(m) > 1 and not m.isascii()):
                 out[m] = rep
     return out
 
 
+def composed(t: str) -> str:
+    """The text with marks in canonical order and composed."""
+    return t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
+
+
+_MARKS: list[np.ndarray] = []
+
+
+def marks() -> np.ndarray:
+    """For each code point, whether it is a combining mark; made once in each worker."""
+    if not _MARKS:
+        is_mark = np.zeros(0x110000, bool)
+        is_mark[[c for c in (*range(0x300, 0x20000), *range(0xE0000, 0xE0200)) if unicodedata.combining(chr(c))]] = True
+        _MARKS.append(is_mark)
+    return _MARKS[0]
+
+
 class Rewriter:
     """Greedy leftmost-longest rewriting with an automaton over all patterns."""
 
@@ -192,10 +233,12 @@ class Rewriter:
         return "".join(out)
 
     def __call__(self, t: str) -> str:
-        if not (self.plain and t.isascii()) and self.ends and self.ends.search(t):
-            u = self.once(t)
-            # Marks may meet their letters once what stood between is gone.
-            t = self.once(u) if self.gaps and self.gaps.search(t) else u
+        if not (self.plain and t.isascii()):
+            t = composed(t)
+            if self.ends and self.ends.search(t):
+                u = composed(self.once(t))
+                # Marks may meet their letters once what stood between is gone.
+                t = composed(self.once(u)) if u != t else u
         return " ".join(t.split())
 
 
@@ -215,21 +258,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     singles = np.zeros(0x110000, np.int64)
     pairs: dict[int, int] = {}
     strings: dict[str, int] = {}
-    is_mark = None
     expanded = sorted({e for c in range(0xFB00, 0xFB07) if (e := expansion(chr(c)))})
     for b in batches:
         texts = [t for t in b.column(0).to_pylist() if t]
         if not texts:
             continue
-        whole = "\n".join(texts)
+        whole = composed("\n".join(texts))
         cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         singles += np.bincount(cp, minlength=0x110000)
         for s in expanded:
             strings[s] = strings.get(s, 0) + whole.count(s)
-        if is_mark is None:
-            is_mark = np.zeros(0x110000, bool)
-            is_mark[[c for c in range(0x300, 0x1200) if unicodedata.combining(chr(c))]] = True
-        hit = np.flatnonzero(is_mark[cp[1:]])
+        hit = np.flatnonzero(marks()[cp[1:]])
         if len(hit):
             keys, n = np.unique((cp[hit].astype(np.int64) << 21) | cp[hit + 1], return_counts=True)
             for k, m in zip(keys.tolist(), n.tolist()):
@@ -312,6 +351,14 @@ def alike_pairs(df: DataFrame, ident: str = "message_id", text: str = "raw_text"
     return out.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
+def alike_classes(df: DataFrame, ident: str = "message_id", text: str = "raw_text", table: dict[str, str] | None = None) -> DataFrame:
+    """(id, class_id, spelling_id): every row with something visible, once, by the
+    form that its text has and by its own sequence of code points.  Rows of one
+    class and different spellings are the pairs of `alike_pairs`."""
+    keys = form_keys(df, ident, text, lookalike_table(df, text) if table is None else table).distinct()
+    return keys.select(F.col("id").alias(ident), F.lower(F.hex("form")).alias("class_id"), F.lower(F.hex("raw")).alias("spelling_id"))
+
+
 def blank(c: Column) -> Column:
     """Whether a text is null or has only blanks (no rewriting needed)."""
     return c.isNull() | (F.trim(c) == "")

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.lookalike import lookalike_table, rewriter
+from tidewright.operators.components import by_shared_keys
 from tidewright.session import cut
 
 #: Slots of the table of word counts that is sent to all tasks: 4 MB, whatever the corpus.
@@ -316,3 +317,17 @@ def near_pairs(
     y = rows.select(F.col("uid").alias("ub"), F.col("id").alias("j"), F.col("at").alias("aj"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("s"))
     out = links.join(x, "ua").join(y, ["ub", "s"]).filter((F.col("i") != F.col("j")) & (F.abs(F.col("ai") - F.col("aj")) <= width))
     return out.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
+def near_groups(df: DataFrame, ident: str = "message_id", text: str = "raw_text", t: float = 0.8, min_words: int = 20, table: dict[str, str] | None = None) -> DataFrame:
+    """(id, set_id, group_id, n_links): each record with enough words, its set of
+    words, the group of sets that are alike directly or through others (named by
+    the least set id), and how many other sets its own is alike to.  Copies share
+    a set, so a group of any size costs a row for each record."""
+    sets = prepared(df.select(ident, text), ident, text, [], min_words, t, table)
+    links = cut(similar_sets(cut(sets.select("uid", "n", "words").dropDuplicates(["uid"]), "distinct"), t), "similar")
+    ends = links.select("ua", "ub").unionByName(links.select(F.col("ub").alias("ua"), F.col("ua").alias("ub")))
+    n = ends.groupBy(F.col("ua").alias("uid")).agg(F.count(F.lit(1)).alias("n_links"))
+    g = by_shared_keys(ends.select(F.col("ua").alias("node"), F.concat_ws("|", F.least("ua", "ub"), F.greatest("ua", "ub")).alias("key")))
+    out = sets.select("id", "uid").distinct().join(n, "uid", "left").join(g.withColumnRenamed("node", "uid"), "uid", "left")
+    return out.select(F.col("id").alias(ident), F.col("uid").alias("set_id"), F.coalesce("component", "uid").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -17,6 +17,7 @@ boat numbers, coordinates, dates, short helplines and landmarks are kept.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -325,9 +326,26 @@ def details(s: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _composed(chars: list[str], starts: list[int], ends: list[int]) -> tuple[list[str], list[int], list[int]]:
+    """`lookalike.composed` of characters with their spans: a letter and its marks share one."""
+    if unicodedata.is_normalized("NFC", "".join(chars)):
+        return chars, starts, ends
+    c2, s2, e2, i = [], [], [], 0
+    while i < len(chars):
+        j = i + 1
+        while j < len(chars) and unicodedata.combining(chars[j]):
+            j += 1
+        for ch in unicodedata.normalize("NFC", "".join(chars[i:j])):
+            c2.append(ch)
+            s2.append(starts[i])
+            e2.append(ends[j - 1])
+        i = j
+    return c2, s2, e2
+
+
 def aligned(f: Rewriter, t: str) -> tuple[str, list[int], list[int]]:
     """The consistent form of `t` with the span in `t` behind each character."""
-    chars, starts, ends = list(t), list(range(len(t))), list(range(1, len(t) + 1))
+    chars, starts, ends = _composed(list(t), list(range(len(t))), list(range(1, len(t) + 1)))
     for _ in range(2):
         text, c2, s2, e2, pos = "".join(chars), [], [], [], 0
         for end, (n, rep) in f.auto.iter_long(text):
@@ -340,7 +358,7 @@ def aligned(f: Rewriter, t: str) -> tuple[str, list[int], list[int]]:
                 s2.append(starts[i])
                 e2.append(ends[end])
             pos = end + 1
-        chars, starts, ends = c2 + chars[pos:], s2 + starts[pos:], e2 + ends[pos:]
+        chars, starts, ends = _composed(c2 + chars[pos:], s2 + starts[pos:], e2 + ends[pos:])
     out, s3, e3 = [], [], []
     for ch, a, b in zip(chars, starts, ends):
         if ch.isspace():

@@ -112,6 +112,16 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select(F.col("a").alias("message_id_a"), F.col("b").alias("message_id_b"))
 
 
+def p1_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Each message with its class of look-alike texts and its own spelling."""
+    return lookalike.alike_classes(table(spark, root, "messages"))
+
+
+def p5_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Each message with its set of words, the group of sets that are mostly the same, and its number of links."""
+    return neardup.near_groups(table(spark, root, "messages"))
+
+
 #: Names of places that the class of names is trained on at most.
 MAX_NAMES = 5000
 
@@ -177,11 +187,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_normalized": p1_normalized,
+        "p1_classes": p1_classes,
         "p2_found": p2_found,
         "p2_redacted": p2_redacted,
         "p3_percentiles": p3_percentiles,
         "p3_run_summaries": p3_run_summaries,
         "p5_found": p5_found,
+        "p5_groups": p5_groups,
         "p6_found": p6_found,
         "p6_segments": p6_segments,
         "p7_found": p7_found,
