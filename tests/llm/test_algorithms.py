@@ -91,7 +91,7 @@ def test_near_pairs_of_long_records(spark):
     r = random.Random(9)
     words = [f"w{k}" for k in range(6000)]
     t0, rows = dt.datetime(2026, 1, 1), []
-    for n in (50, 52, 60, 63, 64, 70, 100, 210, 255, 260, 300, 1000, 1030, 2500):
+    for n in (50, 100, 104, 120, 127, 128, 140, 200, 409, 415, 511, 520, 1000, 2500):
         for _ in range(2):
             base = r.sample(words[: max(90, 2 * n)], n)
             rows.append((f"m{len(rows):04}", " ".join(base), t0))
@@ -114,14 +114,14 @@ def test_near_groups(spark):
     assert (got["c0"].n_links, got["e"].n_links, got["x"].n_links) == (2, 2, 0)
 
 
-@pytest.mark.parametrize("n", [64, 200, 400, 1000, 4000])
+@pytest.mark.parametrize("n", [64, 128, 200, 400, 1000, 4000])
 def test_combinations_are_in_proportion_to_length(n):
     r = neardup.range_of(n)
     parts = neardup.parts_of(r)[4]
     h = list(range(n))
     sig, level = neardup.combos(h, [x % parts * 8 + 4 for x in h], [4] * n, neardup.misses(n, 0.8))
-    assert len(sig) <= 60 * n and len(sig) == len(level)
-    assert math.ceil(0.8 * max(20, neardup.RANGE * 4 ** (r - 1))) > neardup.loss(r)
+    assert len(sig) <= 80 * n and len(sig) == len(level)
+    assert math.ceil(0.8 * (neardup.RANGE * 4 ** (r - 1) if r else 20)) > neardup.loss(r)
 
 
 def test_near_pairs_edges(spark):

@@ -52,7 +52,7 @@ WIDTH = 5
 SHARE = 16
 #: Hash parts that a class is split into (fewer combinations for a slightly longer prefix), for sets of less than RANGE words.
 PARTS = {1: 1, 2: 4, 3: 2, 4: 1}
-RANGE = 64
+RANGE = 128
 M64 = (1 << 64) - 1
 
 
@@ -211,7 +211,7 @@ def mixed(h: np.ndarray, cls: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: DataFrame, counts: np.ndarray, n: int, t: float) -> DataFrame:
-    """(sig, uid, size, level) of distinct sets.  Signatures have 48 bits: a rare
+    """(sig, uid, meta) of distinct sets, meta = size * 2^32 + level.  Signatures have 48 bits: a rare
     collision makes a candidate that verification drops."""
     table = sets.sparkSession.sparkContext.broadcast(counts)
     edge = borders(n)
@@ -243,10 +243,10 @@ def signatures(sets: DataFrame, counts: np.ndarray, n: int, t: float) -> DataFra
                 at += k
             s = (np.array(sig, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16)
             who = np.repeat(np.array([i for i, _ in own]), many)
-            cols = [pa.array(s.view(np.int64), pa.int64()), pa.array(np.array(uids, np.int64)[who]), pa.array(np.array(ns, np.int32)[who]), pa.array(level, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["sig", "uid", "size", "level"])
+            cols = [pa.array(s.view(np.int64), pa.int64()), pa.array(np.array(uids, np.int64)[who]), pa.array(np.array(ns, np.int64)[who] << 32 | np.array(level, np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["sig", "uid", "meta"])
 
-    return sets.select("uid", "n", "words").mapInArrow(run, "sig bigint, uid bigint, size int, level int")
+    return sets.select("uid", "n", "words").mapInArrow(run, "sig bigint, uid bigint, meta bigint")
 
 
 def similar_sets(sets: DataFrame, t: float) -> DataFrame:
@@ -256,13 +256,15 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     counts, n = word_counts(sets)
     sigs = signatures(sets, counts, n, t)
     a, b = sigs.alias("a"), sigs.alias("b")
-    na, nb, la, lb = F.col("a.size"), F.col("b.size"), F.col("a.level"), F.col("b.level")
+    na, nb = F.shiftright("a.meta", 32), F.shiftright("b.meta", 32)
+    la, lb = F.col("a.meta").bitwiseAND(0xFFFFFFFF), F.col("b.meta").bitwiseAND(0xFFFFFFFF)
     # Words of each set that the partner may lack, when it has the partner's size:
     # a combination counts only if both prefixes need it.
     o = F.ceil(F.lit(t / (1 + t)) * (na + nb) - F.lit(1e-9))
     fits = (la <= na - o) & (lb <= nb - o)
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.uid") < F.col("b.uid")) & fits)
-    pairs = pairs.select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")).distinct()
+    # Estimates know nothing of how many signatures a set has: never a broadcast.
+    pairs = a.join(b.hint("merge"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.uid") < F.col("b.uid")) & fits)
+    pairs = pairs.select(F.col("a.uid").alias("ua"), F.col("b.uid").alias("ub")).repartition("ua").distinct()
     one = bitmaps(sets)
     x = one.select(F.col("uid").alias("ua"), F.col("n").alias("na"), F.col("bits0").alias("a0"), F.col("bits1").alias("a1"))
     y = one.select(F.col("uid").alias("ub"), F.col("n").alias("nb"), F.col("bits0").alias("b0"), F.col("bits1").alias("b1"))
