@@ -250,10 +250,12 @@ def signatures(sets: DataFrame, counts: np.ndarray, n: int, t: float) -> DataFra
 
 
 def similar_sets(sets: DataFrame, t: float) -> DataFrame:
-    """(ua, ub), each once: pairs of the distinct `sets` (uid, n, words) of
-    similarity t or more.  Exchanges have no fixed number of partitions, so that
+    """(ua, ub), each once: pairs of distinct sets among the rows of `sets` (uid, n,
+    words) of similarity t or more.  One exchange by uid leaves each set once; the
+    words of pairs are fetched from it as it lies.  Exchanges have no fixed number of partitions, so that
     adaptive execution can split those that a hot signature fills."""
     counts, n = word_counts(sets)
+    sets = sets.select("uid", "n", "words").dropDuplicates(["uid"])
     sigs = signatures(sets, counts, n, t)
     a, b = sigs.alias("a"), sigs.alias("b")
     na, nb = F.shiftright("a.meta", 32), F.shiftright("b.meta", 32)
@@ -308,7 +310,7 @@ def near_pairs(
     """Pairs (a < b) of records at most `hours` apart whose word sets are alike."""
     d = df.select(F.col(ident), F.col(text), F.expr(f"unix_micros(cast(`{time}` as timestamp))").alias("at"))
     sets = prepared(d, ident, text, ["at"], min_words, t, table)
-    sims = similar_sets(cut(sets.select("uid", "n", "words").dropDuplicates(["uid"]), "distinct"), t)
+    sims = similar_sets(sets, t)
     width = int(hours * 3_600_000_000)
     rows = sets.select("id", "uid", "at").filter("at is not null").distinct()
     # Sets are paired with themselves too where several records hold them.
@@ -327,7 +329,7 @@ def near_groups(df: DataFrame, ident: str = "message_id", text: str = "raw_text"
     the least set id), and how many other sets its own is alike to.  Copies share
     a set, so a group of any size costs a row for each record."""
     sets = prepared(df.select(ident, text), ident, text, [], min_words, t, table)
-    links = cut(similar_sets(cut(sets.select("uid", "n", "words").dropDuplicates(["uid"]), "distinct"), t), "similar")
+    links = cut(similar_sets(sets, t), "similar")
     ends = links.select("ua", "ub").unionByName(links.select(F.col("ub").alias("ua"), F.col("ua").alias("ub")))
     n = ends.groupBy(F.col("ua").alias("uid")).agg(F.count(F.lit(1)).alias("n_links"))
     g = by_shared_keys(ends.select(F.col("ua").alias("node"), F.concat_ws("|", F.least("ua", "ub"), F.greatest("ua", "ub")).alias("key")))
