@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from tidewright.session import bounded_sample, cut, small
 
 #: Pages that the trees are fitted on at most (the first by a hash of their id), and units of ordinary and of spam pages among them.
-SAMPLE, FIT_UNITS = 30_000, (32_000, 8_000)
-TREES, DEPTH, LEAF, BAG = 21, 10, 3, 15_000
+SAMPLE, FIT_UNITS = 15_000, (24_000, 6_000)
+TREES, DEPTH, LEAF, BAG = 15, 10, 3, 15_000
 #: Tokens of a unit at most, and the fewest of a block where a page has several.
 UNIT, BLOCK = 48, 512
 #: Pseudo-pages that the overall rate counts as in the rate of a host, and the weight of that rate in the score.
