@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.text import let, place_norm
 from tidewright.session import small
 
+# Fixed value: how coordinates are written.
 COORDINATES = r"(?<![\d.])([-+]?\d{1,2}\.\d{3,8})\s*[,;/ ]\s*([-+]?\d{2,3}\.\d{3,8})(?![\d.])"
 # Place words without a name, the longest first.
 GENERIC = sorted(
@@ -25,7 +26,7 @@ def located(lat: Column, lon: Column, resolution: Column, confidence: Column, me
 
 
 def ladder(accuracy: Column) -> Column:
-    """Struct (resolution, confidence) by accuracy in metres."""
+    """Struct (resolution, confidence) by accuracy in metres (fixed values)."""
     a = F.coalesce(accuracy, F.lit(100.0))
     step = lambda r, c: F.struct(F.lit(r).alias("resolution"), F.lit(c).alias("confidence"))
     return F.when(a <= 50, step("point", 0.95)).when(a <= 150, step("building", 0.86)).when(a <= 600, step("street", 0.66)).when(a <= 2500, step("ward", 0.42)).otherwise(step("ward", 0.28))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.text import place_norm
 from tidewright.functions.triage import NEEDS
 
+# Weights of the two parts, and of the parts of a frame.
 LEXICAL, SEMANTIC = 0.55, 0.75
 FLAGS = ("disabled", "elderly", "infant", "injured", "pregnant")
 LEVELS = ("none", "mild", "moderate", "critical")

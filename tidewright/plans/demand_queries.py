@@ -25,13 +25,18 @@ def report_links(spark: SparkSession, root: str) -> DataFrame:
 
 def _reports(spark: SparkSession, root: str) -> DataFrame:
     """(demand_id, message_id, channel, sender_hash, at, need_type, need_raw, people, people_raw, flags, level, urgency_raw) of all demands' messages."""
+    m = message_reports(spark, root)
+    return report_links(spark, root).join(m.withColumn("mid", clean_id(F.col("message_id"))), "mid").drop("mid")
+
+
+def message_reports(spark: SparkSession, root: str) -> DataFrame:
+    """What each message says, as `_reports` without demands."""
     m = table(spark, root, "messages").filter("raw_text is not null and received_at is not null").dropDuplicates(["message_id"])
-    m = m.select("message_id", "channel", "sender_hash", F.expr("unix_micros(cast(received_at as timestamp))").alias("at"), triage.extraction(F.col("raw_text")).alias("e"))
-    m = m.select(
-        "message_id", "channel", "sender_hash", "at", "e.need.need_type", F.col("e.need.raw").alias("need_raw"), "e.head.people", F.col("e.head.raw").alias("people_raw"),
+    m = m.select("message_id", "channel", "sender_hash", "raw_text", F.expr("unix_micros(cast(received_at as timestamp))").alias("at"), triage.extraction(F.col("raw_text")).alias("e"))
+    return m.select(
+        "message_id", "channel", "sender_hash", "raw_text", "at", "e.need.need_type", F.col("e.need.raw").alias("need_raw"), "e.head.people", F.col("e.head.raw").alias("people_raw"),
         "e.vuln.flags", F.col("e.vuln.raw").alias("flags_raw"), "e.urgency.level", F.col("e.urgency.raw").alias("urgency_raw"),
     )
-    return report_links(spark, root).join(m.withColumn("mid", clean_id(F.col("message_id"))), "mid").drop("mid")
 
 
 def k1_trust_score(spark: SparkSession, root: str) -> DataFrame:
@@ -190,6 +195,14 @@ def _located_items(spark: SparkSession, root: str, m: DataFrame) -> DataFrame:
     return _read(m).join(loc, "message_id")
 
 
+
+
+def even(x: str, n: int) -> str:
+    """`x` rounded to n places, ties to even, where a tie is told from what doubles make of it."""
+    k = f"(({x}) * 1e{n})"
+    return f"(case when abs({k} - floor({k}) - 0.5) < 1e-5 then floor({k}) + floor({k}) % 2 else round({k}) end / 1e{n})"
+
+
 CLEAN = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
 LINKS_SQL = f"(select * from (select distinct demand_id, {CLEAN.format('m')} mid from (select demand_id, unnest(source_message_ids) m from demands)) where mid <> '')"
 _T = tq.SQL["t1_extract"].replace(tq._M, "(select message_id, any_value(raw_text) raw_text from messages where raw_text is not null and received_at is not null group by message_id)")
@@ -236,7 +249,7 @@ c as (select b.demand_id, n as reports, s as senders, least(1.0, s / 3.0) corrob
  case when n < 4 then 1.0 else round_even(greatest(0.05, 1 - (case when n / s >= 3 then least(0.55, 0.16 * (n / s - 2)) else 0.0 end + case when n / greatest(1.0, (t1 - t0) / 60e6) > 0.5 and s <= 2 then 0.25 else 0.0 end)), 4) end propagation
  from b join ch using (demand_id) join se using (demand_id) join ne using (demand_id)),
 w as (select *, 0.28::double * corroboration + 0.24::double * diversity + 0.18::double * consistency + 0.22::double * freshness + 0.08::double * propagation raw from c)
-select * exclude (raw), round_even(least(1.0, greatest(0.0, case when senders = 1 and propagation > 0.6 then greatest(raw, 0.52::double * freshness) else raw end)), 4) as trust from w""",
+select * exclude (raw), {even("least(1.0, greatest(0.0, case when senders = 1 and propagation > 0.6 then greatest(raw, 0.52::double * freshness) else raw end))", 4)} as trust from w""",
     "k7_redecayed": f"""with d as (select demand_id, trust_score, epoch_us(last_corroborated_at) u from {_D} where trust_score is not null and last_corroborated_at is not null)
 select demand_id, round_even(greatest(0.05, trust_score * round_even(power(0.5, ((select max(u) from d) - u) / 60e6 / 90), 4)), 4) as trust from d""",
     "r1_need_vote": f"""with {_R}, v as (select demand_id, need_type, round(sum(need_type_raw), 6) w, min(message_id) f, max(need_type_raw) best, count(*) c from r group by 1, 2),

@@ -113,14 +113,19 @@ def d4_clusters(spark: SparkSession, root: str) -> DataFrame:
     return g.select("component", "members", F.round(haversine_m(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1")), 3).alias("box_m"))
 
 
-def d5_clusters(spark: SparkSession, root: str) -> DataFrame:
-    """Clusters of all messages by the whole gate, without chains and with those that stand alone: size and largest distance between members."""
+def clustered(spark: SparkSession, root: str) -> DataFrame:
+    """(node, cluster) of all messages: links by the whole gate, then clusters without chains."""
     links = cut(d3_links(spark, root), "links").select("a", "b")
     m = cut(demand_queries.messages_read(spark, root), "texts")
     c = by_shared_keys(links.select(F.explode(F.array("a", "b")).alias("node"), F.concat_ws("|", "a", "b").alias("k")), "node", "k")
     groups = m.select(F.col("message_id").alias("node")).join(c, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     linked = m.join(c.select(F.col("node").alias("message_id")), "message_id", "left_semi")
-    of = clusters.refined(groups, embed.joint(linked, "message_id").withColumnRenamed("message_id", "node"))
+    return clusters.refined(groups, embed.joint(linked, "message_id").withColumnRenamed("message_id", "node"))
+
+
+def d5_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Clusters of all messages by the whole gate, without chains and with those that stand alone: size and largest distance between members."""
+    of = clustered(spark, root)
     loc = table(spark, root, "message_locations").filter(F.col("resolution").isin(list(graph.UNCERTAIN))).select(F.col("message_id").alias("node"), "lat", "lon")
     wide = clusters.spread(of.join(loc, "node"))
     g = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).join(wide, "cluster", "left")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import demand_queries, graph_queries, metric_queries, spatial_queries, stream_queries, text_queries
+from tidewright.plans import demand_queries, graph_queries, metric_queries, record_queries, spatial_queries, stream_queries, text_queries
 
-MODULES = [demand_queries, graph_queries, metric_queries, spatial_queries, stream_queries, text_queries]
+MODULES = [demand_queries, graph_queries, metric_queries, record_queries, spatial_queries, stream_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

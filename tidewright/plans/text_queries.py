@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import geo, text, triage
+from tidewright.session import cut
 from tidewright.sources.tables import table
 
 
@@ -39,7 +40,7 @@ def _vocabulary(m: DataFrame) -> DataFrame:
 
 def n5_corrections(spark: SparkSession, root: str) -> DataFrame:
     """Distinct words with their correction against the common words."""
-    m = _messages(spark, root).persist()
+    m = cut(_messages(spark, root), "texts")
     return text.corrections(m.select(F.explode(text.words(F.col("raw_text"))).alias("token")), _vocabulary(m)).filter("token <> correction")
 
 
@@ -138,7 +139,7 @@ _NEED = rf"""(select *, case when len(r) = 0 then 'evacuation' else r[1].need en
   from (select *, list_reverse_sort({_need_sql()}) r from (select *, regexp_replace(regexp_replace(regexp_replace(lower(raw_text), '\p{{Cf}}', '', 'g'), '[^\x00-\x7F\pZ\pP\pS\pC]', '_', 'g'), '\pZ', ' ', 'g') t from @SRC@))))"""
 _URG = "case " + " ".join(f"when regexp_matches(t, '{p}') then {{{{'level': '{level}', 'raw': {round(min(0.95, 0.52 + 0.13 * w), 2)}}}}}" for level, p, w in triage.URGENCY)
 _URG = _URG.replace("{{", "{").replace("}}", "}") + " when need_type = 'medical' then {'level': 'mild', 'raw': 0.42} when need_type = 'evacuation' then {'level': 'none', 'raw': 0.62} else {'level': 'none', 'raw': 0.70} end"
-_FLAGS = "list_filter([" + ", ".join(f"case when regexp_matches(t, '{p}') then '{n}' end" for n, p in triage.VULNERABLE.items()) + "], lambda x: x is not null)"
+_FLAGS = "list_sort(list_filter([" + ", ".join(f"case when regexp_matches(t, '{p}') then '{n}' end" for n, p in triage.VULNERABLE.items()) + "], lambda x: x is not null))"
 _NAMES = f"""names as (select distinct name, lat, lon, {_PN.format('n')} as key from (select name, lat, lon, unnest(list_concat([name], coalesce(aliases, []))) n from gazetteer) where length({_PN.format('n')}) >= 6 and len(list_filter(string_split({_PN.format('n')}, ' '), lambda x: length(x) >= 4)) > 0),
 hits as (select m.message_id, k.key, k.name, k.lat, k.lon, row_number() over (partition by m.message_id order by -length(k.key), k.key, k.name, k.lat, k.lon) rk
  from (select message_id, ' ' || regexp_replace({_PN.format('raw_text')}, ' +', ' ', 'g') || ' ' t from @SRC@) m join names k on contains(m.t, ' ' || regexp_replace(k.key, ' +', ' ', 'g') || ' '))"""
