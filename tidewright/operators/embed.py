@@ -14,9 +14,9 @@ FLAGS = ("disabled", "elderly", "infant", "injured", "pregnant")
 LEVELS = ("none", "mild", "moderate", "critical")
 
 
-def lexical(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, bucket, w): unit vectors of 256 signed buckets of character 3- to
-    5-grams.  A bucket is the first byte of a gram's MD5, its sign the next bit."""
+def buckets(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """(id, bucket, s): sums of signs of character 3- to 5-grams in 256 buckets.
+    A bucket is the first byte of a gram's MD5, its sign the next bit."""
     t = df.select(ident, F.concat(F.lit(" "), place_norm(F.col(text)), F.lit(" ")).alias("t"))
 
     def cut(n: int) -> Column:
@@ -25,11 +25,23 @@ def lexical(df: DataFrame, ident: str, text: str) -> DataFrame:
     grams = F.concat(*[cut(n) for n in (3, 4, 5)])
     h = t.select(ident, F.explode(grams).alias("g")).select(ident, F.md5("g").alias("h"))
     sign = F.when(F.substring("h", 3, 1) < "8", 1).otherwise(-1)
-    v = h.groupBy(ident, F.substring("h", 1, 2).alias("bucket")).agg(F.sum(sign).alias("s")).filter("s <> 0")
+    return h.groupBy(ident, F.substring("h", 1, 2).alias("bucket")).agg(F.sum(sign).alias("s")).filter("s <> 0")
+
+
+def lexical(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """(id, bucket, w): the unit vectors of `buckets`."""
+    v = buckets(df, ident, text)
     n = v.groupBy(ident).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
     return v.join(n, ident).select(ident, "bucket", (F.col("s") / F.col("norm")).alias("w"))
 
 
+def vectors(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """(id, v, norm): `buckets` as one array of 256 whole numbers, and its length."""
+    at = F.conv("bucket", 16, 10).cast("int")
+    g = buckets(df, ident, text).groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.col("s").cast("int").alias("s")))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
+    return g.select(ident, F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("v"), "norm")
+
+
 def frame(need: Column, flags: Column, level: Column, people: Column) -> Column:
     """Unit vector of need, flags, urgency and a soft logarithmic headcount."""
     one = [F.when(need == n, 1.0).otherwise(0.0) for n in NEEDS]
@@ -52,21 +64,20 @@ def joint(items: DataFrame, ident: str) -> DataFrame:
     return lex.unionByName(sem)
 
 
-def similar(pairs: DataFrame, vectors: DataFrame, frames: DataFrame, ident: str, least: float | str) -> DataFrame:
+def similar(pairs: DataFrame, items: DataFrame, ident: str, least: float | str) -> DataFrame:
     """(a, b, cosine) of the pairs (a, b) whose joint vectors are alike: their
-    cosine is at least `least`, a number or a column of `pairs`.
+    cosine is at least `least`, a number or a column of `pairs`.  `items` (id, v,
+    norm, frame) has one row for each text, and a pair stays one row throughout.
 
     Both parts have unit length, so the cosine of the joint vector is the
-    weighted mean of the parts' cosines; shared buckets meet by equality.
+    weighted mean of the parts' cosines; a text without grams has no lexical part.
     """
-    a = vectors.select(F.col(ident).alias("a"), "bucket", F.col("w").alias("wa"))
-    b = vectors.select(F.col(ident).alias("b"), "bucket", F.col("w").alias("wb"))
-    lex = pairs.select("a", "b").join(a, "a").join(b, ["b", "bucket"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("lex"))
-    x = frames.select(F.col(ident).alias("a"), F.col("frame").alias("fa"))
-    y = frames.select(F.col(ident).alias("b"), F.col("frame").alias("fb"))
-    j = pairs.join(lex, ["a", "b"], "left").join(x, "a").join(y, "b")
-    sem = F.aggregate(F.zip_with("fa", "fb", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    x = items.select(F.col(ident).alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"), F.col("frame").alias("fa"))
+    y = items.select(F.col(ident).alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.col("frame").alias("fb"))
+    j = pairs.join(x, "a").join(y, "b")
+    dot = lambda p, q, zero: F.aggregate(F.zip_with(p, q, lambda u, w: u * w), zero, lambda s, z: s + z)
+    lex = F.coalesce(dot("va", "vb", F.lit(0)) / (F.col("na") * F.col("nb")), F.lit(0.0))
     l2, s2 = LEXICAL**2, SEMANTIC**2
-    cos = (l2 * F.coalesce("lex", F.lit(0.0)) + s2 * sem) / (l2 + s2)
+    cos = (l2 * lex + s2 * dot("fa", "fb", F.lit(0.0))) / (l2 + s2)
     bar = F.col(least) if isinstance(least, str) else F.lit(least)
     return j.select("a", "b", F.round(cos, 6).alias("cosine"), bar.alias("bar")).filter("cosine >= bar").drop("bar")

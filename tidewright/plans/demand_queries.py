@@ -232,12 +232,11 @@ ALIKE_SQL = f"""select a, b, cosine from (with gate as ({GATE_SQL}), x as ({_T})
 t as (select message_id, ' ' || {tq._PN.format('any_value(raw_text)')} || ' ' t from messages where raw_text is not null and received_at is not null group by message_id),
 g as (select message_id, unnest(list_concat(list_concat(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3)), list_transform(range(1, greatest(length(t) - 2, 2)), lambda i: substr(t, i, 4))), list_transform(range(1, greatest(length(t) - 3, 2)), lambda i: substr(t, i, 5)))) g
  from t where message_id in (select message_id from ids)),
-v as (select message_id, substr(md5(g), 1, 2) bucket, sum(case when substr(md5(g), 3, 1) < '8' then 1 else -1 end)::double s from g group by 1, 2 having sum(case when substr(md5(g), 3, 1) < '8' then 1 else -1 end) <> 0),
-u as (select v.message_id, bucket, s / sqrt(n) w from v join (select message_id, sum(s * s) n from v group by 1) using (message_id)),
-lex as (select a, b, sum(p.w * q.w) l from gate join u p on p.message_id = a join u q on q.message_id = b and q.bucket = p.bucket group by 1, 2),
+v as (select message_id, ('0x' || substr(md5(g), 1, 2))::int bucket, sum(case when substr(md5(g), 3, 1) < '8' then 1 else -1 end)::double s from g group by 1, 2),
+d as (select message_id, list(coalesce(v.s, 0.0) order by n.bucket) w from (select message_id, bucket from ids, (select unnest(range(0, 256)) bucket)) n left join v using (message_id, bucket) group by 1),
 f as (select message_id, {_FRAME} fr from (select *, least(3.0, ln(1 + people) / ln(60.0::double) * 4) hb from x)),
-j as (select gate.a, gate.b, coalesce(l, 0) l, list_dot_product(p.fr, q.fr) / sqrt(list_dot_product(p.fr, p.fr)) / sqrt(list_dot_product(q.fr, q.fr)) s
- from gate left join lex using (a, b) join f p on p.message_id = gate.a join f q on q.message_id = gate.b)
+j as (select gate.a, gate.b, case when list_dot_product(x.w, x.w) > 0 and list_dot_product(y.w, y.w) > 0 then list_dot_product(x.w, y.w) / sqrt(list_dot_product(x.w, x.w)) / sqrt(list_dot_product(y.w, y.w)) else 0 end l,
+ list_dot_product(p.fr, q.fr) / sqrt(list_dot_product(p.fr, p.fr)) / sqrt(list_dot_product(q.fr, q.fr)) s from gate join d x on x.message_id = gate.a join d y on y.message_id = gate.b join f p on p.message_id = gate.a join f q on q.message_id = gate.b)
 select a, b, round((0.55::double * 0.55 * l + 0.75::double * 0.75 * s) / (0.55::double * 0.55 + 0.75::double * 0.75), 6) as cosine from j) where cosine >= 0.68"""
 
 SQL = {

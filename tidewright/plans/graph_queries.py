@@ -83,12 +83,13 @@ ALIKE = 0.68
 
 
 def _similar(spark: SparkSession, root: str, pairs_of=graph.gated, least: float | str = ALIKE) -> DataFrame:  # noqa: ANN001
-    items = demand_queries.message_frames(spark, root)
+    items = cut(demand_queries.message_frames(spark, root), "items")  # texts are parsed once
     pairs = cut(pairs_of(items), "gate")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("message_id")).distinct()
-    vectors = embed.lexical(items.join(ids, "message_id", "left_semi"), "message_id", "raw_text")
-    frames = items.select("message_id", embed.frame(F.col("need_type"), F.col("flags"), F.col("level"), F.col("people")).alias("frame"))
-    return embed.similar(pairs, vectors, frames, "message_id", least)
+    texts = items.dropDuplicates(["message_id"]).join(ids, "message_id", "left_semi")  # a message may have several places
+    frames = texts.select("message_id", embed.frame(F.col("need_type"), F.col("flags"), F.col("level"), F.col("people")).alias("frame"))
+    both = frames.join(embed.vectors(texts, "message_id", "raw_text"), "message_id", "left")
+    return embed.similar(pairs, both, "message_id", least)
 
 
 def e3_similar_pairs(spark: SparkSession, root: str) -> DataFrame:

@@ -50,10 +50,24 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     result survives the loss of executors, and later reads are columnar."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that `cut` has written, once their results have been
+    stored or are not needed any more; returns how many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint `df` for broadcast if it has at most `rows` rows, else leave the
     choice of a shuffle join to the optimizer."""
