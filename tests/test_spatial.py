@@ -73,3 +73,21 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {got[f"a{i:03}"] for i in range(40)} == {"a000"}
     assert {got[f"s{i:03}"] for i in range(60)} == {"s000"}
     assert "lonely" not in got
+
+
+def test_places_of_all_sizes_across_the_date_line(spark):
+    r = random.Random(8)
+    places = [(f"p{k}", r.choice([9.6, 76.5, -60.0, 0.0]) + r.uniform(-0.2, 0.2), r.choice([179.99, -179.99, 10.0]) + r.uniform(-0.009, 0.009), float(r.choice([0, 1, 150, 900, 5_000, 50_000, 3_000_000]))) for k in range(60)]
+    places += [("null", 9.6, 179.99, None), ("nowhere", None, 1.0, 5.0), ("all", 0.0, 0.0, 1e9)]
+    points = [(f"m{k}", r.choice([9.6, 76.5, -60.0, 0.0, 89.9]) + r.uniform(-0.1, 0.1), r.choice([179.99, -179.99, 10.0]) + r.uniform(-0.009, 0.009)) for k in range(80)]
+    points += [(n + "x", la, lo) for n, la, lo, _ in places[:40]] + [("none", None, 3.0)]
+    g = spark.createDataFrame([(*x, "z") for x in places], "name string, lat double, lon double, radius_m double, level string")
+    p = spark.createDataFrame([(*x, "z") for x in points], "message_id string, lat double, lon double, place2 string")
+    got = {(x.message_id, x.place) for x in spatial.near_places(p, g).select("message_id", "place").collect()}
+
+    def away(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    want = {(m, n) for m, a, b in points if a is not None for n, c, d, rad in places if c is not None and rad is not None and away(a, b, c, d) <= rad}
+    assert got == want and len(want) > 200

@@ -75,22 +75,27 @@ def regions_of(points: DataFrame, regions: DataFrame, region: str = "h3_cell", r
 def near_places(points: DataFrame, places: DataFrame, name: str = "name", radius: str = "radius_m") -> DataFrame:
     """`points` joined to the places within whose own radius they lie.
 
-    Places are put into all cells of a grid that their circle may touch; the
-    grid is as wide as the largest radius, so that each place is in few cells.
+    Places fall into levels by radius, each twice the one before; a level has
+    cells of its size on the unit sphere, so that a large place makes no small one
+    coarser, and latitude and the date line do not matter.  A place registers in
+    the cells that its radius reaches, a point in its own cell of each level.
     """
-    top = places.agg(F.max(radius)).first()[0]
-    if top is None:
+    ok = F.col(radius).isNotNull() & ~F.isnan(radius) & (F.col(radius) >= 0) & (F.col(radius) < float("inf"))
+    g = located(places).filter(ok).select(F.col(name).alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col(radius).cast("double").alias("pr"))
+    # Radii beyond half the Earth reach everything at the level of half the Earth.
+    g = g.withColumn("level", F.ceil(F.log2(F.greatest(F.lit(1.0), F.least(F.col("pr"), F.lit(4 * EARTH_M))))).cast("int"))
+    levels = sorted(r.level for r in g.select("level").distinct().collect())  # 0 to 25
+    if not levels:
         return points.limit(0).withColumn("place", F.lit(None).cast("string")).withColumn("metres", F.lit(None).cast("double"))
-    side = max(float(top), 1.0) / DEGREE_M
-    g = places.filter(F.col(radius).isNotNull() & (F.col(radius) >= 0) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    g = g.select(F.col(name).alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col(radius).alias("pr"))
-    dlat = F.col("pr") / DEGREE_M * 1.001
-    dlon = F.least(F.lit(360.0), dlat / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(89.9), F.abs("plat") + dlat)))))
-    g = g.withColumn("gy", F.explode(F.sequence(F.floor((F.col("plat") - dlat) / side), F.floor((F.col("plat") + dlat) / side))))
-    g = g.withColumn("gx", F.explode(F.sequence(F.floor((F.col("plon") - dlon) / side), F.floor((F.col("plon") + dlon) / side))))
-    p = located(points).withColumn("gy", F.floor(F.col("lat") / side)).withColumn("gx", F.floor(F.col("lon") / side))
+    chord = F.pow(F.lit(2.0), F.col("level")) * F.lit(1.001 / EARTH_M)
+    axes = lambda y, x: {"cx": F.cos(F.radians(y)) * F.cos(F.radians(x)), "cy": F.cos(F.radians(y)) * F.sin(F.radians(x)), "cz": F.sin(F.radians(y))}
+    for c, v in axes("plat", "plon").items():
+        reach = chord * F.sqrt(F.greatest(F.lit(0.0), 1 - v * v)) + chord * chord
+        g = g.withColumn(c, F.explode(F.sequence(F.floor((v - reach) / chord), F.floor((v + reach) / chord))))
+    p = located(points).withColumns({f"_{c}": v for c, v in axes("lat", "lon").items()}).withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    p = p.withColumns({c: F.floor(F.col(f"_{c}") / chord) for c in ("cx", "cy", "cz")}).drop("_cx", "_cy", "_cz")
     d = haversine_m(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    return p.join(small(g), ["gy", "gx"]).withColumn("metres", d).filter("metres <= pr").drop("gy", "gx", "plat", "plon", "pr")
+    return p.join(small(g), ["level", "cx", "cy", "cz"]).withColumn("metres", d).filter("metres <= pr").drop("level", "cx", "cy", "cz", "plat", "plon", "pr")
 
 
 def near_counts(points: DataFrame, queries: DataFrame, metres: float, ident: str, parts: int = 4) -> DataFrame:
