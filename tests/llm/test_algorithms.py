@@ -105,6 +105,77 @@ def test_near_pairs_of_long_records(spark):
     assert len(got) > 300
 
 
+def templated(n, r, t0):
+    """Messages of seven sentences out of 40, whose words are the same but for names and numbers; some twice with changes."""
+    sentences = [[f"s{k}w{j}" for j in range(6)] for k in range(40)]
+    rows = []
+    while len(rows) < n:
+        w = [x for s in r.sample(sentences, 7) for x in [*s, f"name{r.randrange(300)}", f"{r.randrange(90)}"]] + [f"ref{len(rows)}"]
+        for _ in range(r.choice([1, 1, 1, 2, 3])):
+            v = list(w)
+            for _ in range(r.randint(0, 8)):
+                v[r.randrange(len(v))] = r.choice([f"name{r.randrange(300)}", f"typo{r.randrange(10**6)}"])
+            r.shuffle(v)
+            rows.append((f"m{len(rows):05}", " ".join(v), t0 + dt.timedelta(minutes=r.uniform(0, 600))))
+    return rows
+
+
+def test_near_pairs_of_shared_sentences_leave_little_on_disk(spark):
+    rows = templated(1500, random.Random(4), dt.datetime(2026, 1, 1))
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        got = disk.getAllFiles()
+        return {(f := got.apply(i)).getName(): f.length() for i in range(got.size())}
+
+    df = spark.createDataFrame(rows, "message_id string, raw_text string, received_at timestamp_ntz").repartition(3).cache()
+    df.count()
+    before = files()
+    got = {(x.a, x.b) for x in neardup.near_pairs(df).collect()}
+    left = sum(v for k, v in files().items() if k.startswith("shuffle_") and k not in before)
+    df.unpersist()
+    assert got == brute(rows, 0.8, 12, 20)
+    assert len(got) > 200
+    assert left < 0.5 * sum(len(x) for _, x, _ in rows), left / sum(len(x) for _, x, _ in rows)
+
+
+@pytest.mark.parametrize("n", [16_000_000, 80_000_000])
+def test_combinations_do_not_grow_with_a_fixed_vocabulary(n):
+    """Sets of 53 words: a number, 14 names and numbers, and words of sentences that a tenth of all sets have."""
+    r, many = random.Random(2), 0
+    edge = neardup.borders(n)
+    for _ in range(200):
+        df = sorted([1] + [r.randint(n // 500, n // 50) for _ in range(14)] + [r.randint(n // 30, n // 8) for _ in range(38)])
+        h = [r.getrandbits(40) for _ in df]
+        cls = [int(k) + 1 for k in np.searchsorted(edge, df)]
+        parts = neardup.parts_of(neardup.range_of(53))
+        sig, _ = neardup.combos(h, [x % parts[k] * 8 + k for x, k in zip(h, cls)], cls, neardup.misses(53, 0.8))
+        many += len(sig)
+    assert many / 200 < 100
+
+
+def test_meeting_needs_both_levels_and_sketches():
+    """A record that 3,000 sets share: only pairs whose words can be alike are handed on."""
+    r, sets = random.Random(3), []
+    for k in range(1500):
+        a = r.sample(range(10**6), 50)
+        sets += [a, a[: r.choice([49, 48, 46])] + [10**6 + k]]
+    rng = neardup.range_of(50)
+    rec = np.zeros(len(sets), neardup.record(rng))
+    for k, x in enumerate(sets):
+        h = np.array([v * 2654435761 % 2**40 for v in x], np.uint64)
+        rec[k] = (7, r.randint(0, 4), len(x), k, neardup.sketches(h, np.array([0]), 1)[0])
+    got = {(int(x), int(y)) for p in neardup.meet(rec, rng, 0.8) for x, y in zip(*p)}
+    need = set()
+    for k in range(0, len(sets), 2):
+        a, b = rec[k], rec[k + 1]
+        o = math.ceil(0.8 / 1.8 * (int(a["n"]) + int(b["n"])) - 1e-9)
+        if a["level"] <= a["n"] - o and b["level"] <= b["n"] - o:
+            need.add((k, k + 1))
+    assert need <= got and len(need) > 500
+    assert len(got) < len(need) + 20
+
+
 def test_near_groups(spark):
     base = [f"w{k}" for k in range(30)]
     rows = [(f"c{k}", " ".join(base)) for k in range(5)] + [("e", " ".join(base[:27])), ("f", " ".join(base[3:27])), ("x", " ".join(f"y{k}" for k in range(25))), ("s", "short"), ("n", None)]

@@ -45,13 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+#: Spark deletes an execution's shuffle files at its end, instead of when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str = "t", release: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage is cut, the
-    result survives the loss of executors, and later reads are columnar."""
+    result survives the loss of executors, and later reads are columnar.  `release`
+    deletes the shuffle files of the writing as soon as it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if release:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
