@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from tidewright.functions.text import place_norm
 from tidewright.functions.triage import NEEDS
@@ -42,6 +48,86 @@ def vectors(df: DataFrame, ident: str, text: str) -> DataFrame:
     return g.select(ident, F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("v"), "norm")
 
 
+def weights() -> tuple[float, float]:
+    """What the cosines of both parts count in that of the joint vector."""
+    return LEXICAL**2, SEMANTIC**2
+
+
+#: Normal texts have blanks, digits and letters only: a gram is a number in base 37.
+_DIGIT = np.zeros(128, np.int32)
+for _k, _c in enumerate(b" 0123456789abcdefghijklmnopqrstuvwxyz"):
+    _DIGIT[_c] = _k
+_LONG, _TABLE = (3, 4, 5), []
+
+
+def _hashed(at: int, codes: np.ndarray, text: bytes, starts: np.ndarray) -> np.ndarray:
+    """2 * bucket + (1 if the sign is positive) of the grams of _LONG[at] characters that begin at `starts`
+    of `text`.  A process keeps what it has hashed: pages of the tables that no gram needs take no memory."""
+    n = _LONG[at]
+    while len(_TABLE) <= at:
+        _TABLE.append(np.zeros(37 ** _LONG[len(_TABLE)], np.int16))
+    key = np.zeros(len(starts), np.int32)
+    for k in range(n):
+        key *= 37
+        key += codes[starts + k]
+    got = _TABLE[at][key]
+    new = np.flatnonzero(got == 0)
+    if len(new):
+        fresh, first = np.unique(key[new], return_index=True)
+        for x, s in zip(fresh.tolist(), starts[new[first]].tolist(), strict=True):
+            h = hashlib.md5(text[s : s + n]).digest()
+            _TABLE[at][x] = 2 * h[0] + (h[1] < 128) + 1
+        got = _TABLE[at][key]
+    return got - 1
+
+
+def counted(texts: list[str]) -> np.ndarray:
+    """(texts, 256): what `buckets` gives for padded normal texts, as whole numbers."""
+    raw = [t.encode("ascii") for t in texts]
+    size = np.array([len(t) for t in raw], np.int64)
+    text, begin = b"".join(raw), np.cumsum(size) - size
+    codes = _DIGIT[np.frombuffer(text, np.uint8)]
+    owner = np.repeat(np.arange(len(raw)), size)
+    left = np.repeat(begin + size, size) - np.arange(len(text))
+    out = np.zeros(len(raw) * 256, np.int64)
+    for at, n in enumerate(_LONG):
+        starts = np.flatnonzero(left >= n)
+        h = _hashed(at, codes, text, starts)
+        both = np.bincount(owner[starts] * 512 + h, minlength=len(raw) * 512)
+        out += both[1::2] - both[::2]
+        for k in np.flatnonzero(size < n):  # a text shorter than the gram is one
+            h = hashlib.md5(raw[k]).digest()
+            out[k * 256 + h[0]] += 1 if h[1] < 128 else -1
+    return out.reshape(len(raw), 256)
+
+
+def packed(df: DataFrame, text: str, v: str = "v") -> DataFrame:
+    """`df` with `v` instead of `text`: the 256 whole numbers of `buckets` as
+    little-endian bytes, each of one byte if all fit, else of two or four."""
+    names = [c for c in df.columns if c != text]
+    kept = df.withColumn(text, F.concat(F.lit(" "), place_norm(F.col(text)), F.lit(" ")))
+    schema = StructType([df.schema[c] for c in names]).add(v, BinaryType())
+
+    def one(x: np.ndarray) -> bytes:
+        most = np.abs(x).max()
+        return x.astype("<i1" if most < 1 << 7 else "<i2" if most < 1 << 15 else "<i4").tobytes()
+
+    def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1000):
+                b = batch.slice(s, 1000)
+                made = pa.array([one(x) for x in counted([t or "  " for t in b.column(text).to_pylist()])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), made], [*names, v])
+
+    return kept.mapInArrow(vectors_of, schema)
+
+
+def unpacked(c: pa.ChunkedArray) -> np.ndarray:
+    """(rows, 256) whole numbers of what `packed` made, in the least type that holds all."""
+    rows = [np.frombuffer(x, f"<i{len(x) // 256}") for x in c.to_pylist()]
+    return np.stack(rows)
+
+
 def frame(need: Column, flags: Column, level: Column, people: Column) -> Column:
     """Unit vector of need, flags, urgency and a soft logarithmic headcount."""
     one = [F.when(need == n, 1.0).otherwise(0.0) for n in NEEDS]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import clusters, embed, graph
+from tidewright.operators import alike, clusters, embed, graph
 from tidewright.operators.components import by_shared_keys
 from tidewright.operators.spatial import haversine_m
 from tidewright.plans import demand_queries
@@ -79,6 +79,17 @@ def d3_gate_pairs(spark: SparkSession, root: str) -> DataFrame:
     return graph.gated(r).select("a", "b")
 
 
+def _read_items(spark: SparkSession, root: str) -> DataFrame:
+    """Of each message: time, need, headcount, frame and text vector.  Texts are parsed once."""
+    m = demand_queries.messages_read(spark, root)
+    m = m.select("message_id", "us", "need_type", "people", "sure", embed.frame(F.col("need_type"), F.col("flags"), F.col("level"), F.col("people")).alias("frame"), "raw_text")
+    return cut(embed.packed(m, "raw_text"), "items")
+
+
+def _placed_items(spark: SparkSession, root: str) -> DataFrame:
+    return alike.placed(_read_items(spark, root), table(spark, root, "message_locations"))
+
+
 ALIKE = 0.68
 
 
@@ -102,11 +113,13 @@ def d3_links(spark: SparkSession, root: str) -> DataFrame:
     return _similar(spark, root, graph.barred, "bar")
 
 
+def _components(links: DataFrame, name: str) -> DataFrame:
+    return by_shared_keys(links.select(F.explode(F.array("a", "b")).alias(name), F.concat_ws("|", "a", "b").alias("k")), name, "k")
+
+
 def d4_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Components of alike pairs, with their size and the diagonal of their box in metres; `d5_clusters` has the clusters without chains."""
-    sims = cut(_similar(spark, root), "alike").select("a", "b")
-    links = sims.select(F.explode(F.array("a", "b")).alias("message_id"), F.concat_ws("|", "a", "b").alias("k"))
-    c = by_shared_keys(links, "message_id", "k")
+    c = _components(cut(alike.joined(_placed_items(spark, root), graph.ALIKE), "alike"), "message_id")
     loc = table(spark, root, "message_locations").filter("lat is not null and lon is not null").select("message_id", "lat", "lon").distinct()
     g = c.join(loc, "message_id").groupBy("component").agg(
         F.countDistinct("message_id").alias("members"), F.min("lat").alias("y0"), F.max("lat").alias("y1"), F.min("lon").alias("x0"), F.max("lon").alias("x1")
