@@ -90,6 +90,11 @@ def _placed_items(spark: SparkSession, root: str) -> DataFrame:
     return alike.placed(_read_items(spark, root), table(spark, root, "message_locations"))
 
 
+def e3_similar_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs that pass the gate and have a cosine of .68 at least, at every radius; `d3_links` has the pairs that count as one happening."""
+    return alike.pairs(_placed_items(spark, root), graph.ALIKE)
+
+
 ALIKE = 0.68
 
 
@@ -103,11 +108,6 @@ def _similar(spark: SparkSession, root: str, pairs_of=graph.gated, least: float
     return embed.similar(pairs, both, "message_id", least)
 
 
-def e3_similar_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Pairs that pass the gate and have a cosine of .68 at least, at every radius; `d3_links` has the pairs that count as one happening."""
-    return _similar(spark, root)
-
-
 def d3_links(spark: SparkSession, root: str) -> DataFrame:
     """Pairs that pass the whole gate: beyond a radius of 1,400 m only those with a cosine of .86 and like headcounts."""
     return _similar(spark, root, graph.barred, "bar")
