@@ -85,5 +85,5 @@ def test_a_crowd_makes_no_row_for_each_pair_of_the_gate(spark, root, monkeypatch
     for f in ("gated", "barred"):
         monkeypatch.setattr(graph, f, never)
     monkeypatch.setattr(embed, "similar", never)
-    for q in (graph_queries.e3_similar_pairs, graph_queries.d4_clusters):
+    for q in (graph_queries.e3_similar_pairs, graph_queries.d3_links, graph_queries.d4_clusters):
         assert q(spark, root).count() > 0

@@ -95,22 +95,9 @@ def e3_similar_pairs(spark: SparkSession, root: str) -> DataFrame:
     return alike.pairs(_placed_items(spark, root), graph.ALIKE)
 
 
-ALIKE = 0.68
-
-
-def _similar(spark: SparkSession, root: str, pairs_of=graph.gated, least: float | str = ALIKE) -> DataFrame:  # noqa: ANN001
-    items = cut(demand_queries.message_frames(spark, root), "items")  # texts are parsed once
-    pairs = cut(pairs_of(items), "gate")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("message_id")).distinct()
-    texts = items.dropDuplicates(["message_id"]).join(ids, "message_id", "left_semi")  # a message may have several places
-    frames = texts.select("message_id", embed.frame(F.col("need_type"), F.col("flags"), F.col("level"), F.col("people")).alias("frame"))
-    both = frames.join(embed.vectors(texts, "message_id", "raw_text"), "message_id", "left")
-    return embed.similar(pairs, both, "message_id", least)
-
-
 def d3_links(spark: SparkSession, root: str) -> DataFrame:
     """Pairs that pass the whole gate: beyond a radius of 1,400 m only those with a cosine of .86 and like headcounts."""
-    return _similar(spark, root, graph.barred, "bar")
+    return alike.pairs(_placed_items(spark, root), graph.ALIKE, coarse=True)
 
 
 def _components(links: DataFrame, name: str) -> DataFrame:
