@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewright.operators import alike, embed, graph
+from tidewright.operators import alike, clusters, embed, graph
 
 MESSAGE = "message_id string, raw_text string, us long, need_type string, people int, sure boolean, flags array<string>, level string"
 PLACE = "message_id string, lat double, lon double, resolution string"
@@ -48,8 +48,20 @@ def sets(pairs):
     return {frozenset(x) for x in of.values()}
 
 
-def test_the_pairs_are_those_of_gate_and_cosine(spark, monkeypatch):
-    monkeypatch.setattr(alike, "LEAF", 16)
+def test_small_blocks_find_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(alike, "LEAF", 8)
+    m, p = tables(spark, 2, 700)
+    t = alike._sorted(made(m, p)).toArrow().sort_by([(k, "ascending") for k in ("need_type", "cx", "cy", "cz", "slot")])
+    for coarse in (False, True):
+        got = []
+        for cell in (alike._Cell(g, coarse) for g in alike._groups(iter(t.to_batches()))):
+            for i, j, c in cell.pairs(graph.ALIKE):
+                x, y = np.minimum(cell.code[i], cell.code[j]), np.maximum(cell.code[i], cell.code[j])
+                got += zip(cell.names.take(x).to_pylist(), cell.names.take(y).to_pylist(), c.tolist(), strict=True)
+        assert sorted(got) == sorted((x.a, x.b, x.cosine) for x in one_by_one(m, p, coarse).collect())
+
+
+def test_the_pairs_are_those_of_gate_and_cosine(spark):
     m, p = tables(spark, 1, 900)
     m, p = m.cache(), p.cache()
     for coarse in (False, True):
@@ -87,3 +99,31 @@ def test_a_crowd_makes_no_row_for_each_pair_of_the_gate(spark, root, monkeypatch
     monkeypatch.setattr(embed, "similar", never)
     for q in (graph_queries.e3_similar_pairs, graph_queries.d3_links, graph_queries.d4_clusters):
         assert q(spark, root).count() > 0
+
+
+def test_large_components_are_split_as_small_ones(spark, monkeypatch):
+    """The vectors stay packed: before, each number of a vector was a row in each round."""
+    r = random.Random(7)
+    rows = []
+    for c, n in (("p", 150), ("q", 90), ("r", 2), ("s", 1), ("t", 40), ("u", 130)):
+        for k in range(n):
+            text = " ".join(r.choices(WORDS[:6] if k % 3 or c == "u" else WORDS[9:], k=5)) if c != "t" else str(r.random())
+            rows.append((f"{c}{k:03}", text, 0, r.choice(["medical", "water", "food"]), r.choice([0, 4, 60]), True, [], r.choice(["none", "critical"])))
+    frame = embed.frame(F.col("need_type"), F.col("flags"), F.col("level"), F.col("people"))
+    m = spark.createDataFrame(rows, MESSAGE).withColumn("component", F.substring("message_id", 1, 1)).withColumn("node", F.col("message_id"))
+    want = {(x.node, x.cluster) for x in clusters.refined(m.select("node", "component"), embed.joint(m, "node")).collect()}
+    v = embed.packed(m.select("node", "component", frame.alias("frame"), "raw_text"), "raw_text").cache()
+    for large in (20_000, 50):
+        monkeypatch.setattr(clusters, "LARGE", large)
+        assert {(x.node, x.cluster) for x in clusters.split(v).collect()} == want
+    assert 6 < len({c for _, c in want}) < len(want) - 20
+
+
+def test_farthest_of_a_crowd():
+    r = np.random.default_rng(3)
+    for n, wide in ((2000, (0.001, 0.001)), (3000, (0.01, 0.0001)), (1500, (1.0, 2.0))):
+        y, x = r.normal(0.2, wide[0], n), r.normal(1.3, wide[1], n)
+        p = np.stack([np.cos(y) * np.cos(x), np.cos(y) * np.sin(x), np.sin(y)], 1)
+        i, j = clusters._farthest(p)
+        most = max(((p[k] - p) ** 2).sum(1).max() for k in range(n))
+        assert abs(((p[i] - p[j]) ** 2).sum() - most) < 1e-12

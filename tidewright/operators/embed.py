@@ -128,6 +128,14 @@ def unpacked(c: pa.ChunkedArray) -> np.ndarray:
     return np.stack(rows)
 
 
+def unit(v: np.ndarray, frames: np.ndarray) -> np.ndarray:
+    """The joint unit vectors of `unpacked` numbers and frames, in double precision."""
+    lex = v.astype(float)
+    norm = np.sqrt((lex * lex).sum(1))[:, None]
+    size = (LEXICAL**2 + SEMANTIC**2) ** 0.5
+    return np.hstack([np.divide(lex, norm, out=lex, where=norm > 0) * (LEXICAL / size), frames * (SEMANTIC / size)])
+
+
 def frame(need: Column, flags: Column, level: Column, people: Column) -> Column:
     """Unit vector of need, flags, urgency and a soft logarithmic headcount."""
     one = [F.when(need == n, 1.0).otherwise(0.0) for n in NEEDS]

@@ -79,15 +79,14 @@ def d3_gate_pairs(spark: SparkSession, root: str) -> DataFrame:
     return graph.gated(r).select("a", "b")
 
 
-def _read_items(spark: SparkSession, root: str) -> DataFrame:
-    """Of each message: time, need, headcount, frame and text vector.  Texts are parsed once."""
-    m = demand_queries.messages_read(spark, root)
+def _vectors(m: DataFrame) -> DataFrame:
+    """Of each message of `m` (as `messages_read`): time, need, headcount, frame and text vector."""
     m = m.select("message_id", "us", "need_type", "people", "sure", embed.frame(F.col("need_type"), F.col("flags"), F.col("level"), F.col("people")).alias("frame"), "raw_text")
     return cut(embed.packed(m, "raw_text"), "items")
 
 
 def _placed_items(spark: SparkSession, root: str) -> DataFrame:
-    return alike.placed(_read_items(spark, root), table(spark, root, "message_locations"))
+    return alike.placed(_vectors(demand_queries.messages_read(spark, root)), table(spark, root, "message_locations"))
 
 
 def e3_similar_pairs(spark: SparkSession, root: str) -> DataFrame:
@@ -114,19 +113,20 @@ def d4_clusters(spark: SparkSession, root: str) -> DataFrame:
     return g.select("component", "members", F.round(haversine_m(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1")), 3).alias("box_m"))
 
 
-def clustered(spark: SparkSession, root: str) -> DataFrame:
-    """(node, cluster) of all messages: links by the whole gate, then clusters without chains."""
-    links = cut(d3_links(spark, root), "links").select("a", "b")
-    m = cut(demand_queries.messages_read(spark, root), "texts")
-    c = by_shared_keys(links.select(F.explode(F.array("a", "b")).alias("node"), F.concat_ws("|", "a", "b").alias("k")), "node", "k")
-    groups = m.select(F.col("message_id").alias("node")).join(c, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    linked = m.join(c.select(F.col("node").alias("message_id")), "message_id", "left_semi")
-    return clusters.refined(groups, embed.joint(linked, "message_id").withColumnRenamed("message_id", "node"))
+def clustered(spark: SparkSession, root: str, messages: DataFrame | None = None) -> DataFrame:
+    """(node, cluster) of all messages: links by the whole gate, then clusters without chains.
+    `messages` are those of `messages_read`, if they have been read."""
+    m = _vectors(demand_queries.messages_read(spark, root) if messages is None else messages)
+    links = cut(alike.joined(alike.placed(m, table(spark, root, "message_locations")), graph.ALIKE, coarse=True), "links")
+    c = cut(_components(links, "node"), "components")
+    n = m.select(F.col("message_id").alias("node"), "v", "frame")
+    alone = n.select("node").join(c.select("node"), "node", "left_anti").select("node", F.col("node").alias("cluster"))
+    return clusters.split(n.join(c, "node")).unionByName(alone)
 
 
 def d5_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Clusters of all messages by the whole gate, without chains and with those that stand alone: size and largest distance between members."""
-    of = clustered(spark, root)
+    of = cut(clustered(spark, root), "clusters")
     loc = table(spark, root, "message_locations").filter(F.col("resolution").isin(list(graph.UNCERTAIN))).select(F.col("message_id").alias("node"), "lat", "lon")
     wide = clusters.spread(of.join(loc, "node"))
     g = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).join(wide, "cluster", "left")
