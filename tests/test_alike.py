@@ -127,3 +127,12 @@ def test_farthest_of_a_crowd():
         i, j = clusters._farthest(p)
         most = max(((p[k] - p) ** 2).sum(1).max() for k in range(n))
         assert abs(((p[i] - p[j]) ** 2).sum() - most) < 1e-12
+
+
+def test_records_of_clusters_parse_texts_once(spark, root, monkeypatch):
+    from tidewright.functions import triage
+    from tidewright.plans import record_queries
+
+    n, read = [], triage.extraction
+    monkeypatch.setattr(triage, "extraction", lambda c: n.append(1) or read(c))
+    assert record_queries.r5_pipeline(spark, root).count() > 0 and len(n) == 1

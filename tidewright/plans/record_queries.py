@@ -50,8 +50,10 @@ def r5_records(spark: SparkSession, root: str) -> DataFrame:
 
 def r5_pipeline(spark: SparkSession, root: str) -> DataFrame:
     """From messages to records in one plan: reports are clustered, and each cluster becomes a record."""
-    of = cut(graph_queries.clustered(spark, root), "clusters")
-    r = dq.message_reports(spark, root).join(of.select(F.col("node").alias("message_id"), "cluster"), "message_id")
+    read = cut(dq.message_reports(spark, root), "messages")  # texts are parsed once
+    m = read.select("message_id", "raw_text", F.col("at").alias("us"), "need_type", "people", (F.col("people_raw") >= 0.85).alias("sure"), "flags", "level")
+    of = cut(graph_queries.clustered(spark, root, m), "clusters")
+    r = read.join(of.select(F.col("node").alias("message_id"), "cluster"), "message_id")
     return _flat(reconcile.records(cut(r, "reports"), "cluster", F.lit(_last_us(spark, root))), "cluster")
 
 
